@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.operators.significance import OVER, UNDER
@@ -10,6 +10,11 @@ from evenhand.operators.significance import OVER, UNDER
 SMALL_Q = 0.001
 
 
+def percent(rate: str) -> Column:
+    """Percent with two decimals, exact halves to the even digit as printf does."""
+    return F.bround(F.col(rate) * 100, 2)
+
+
 def verdict_view(tests: DataFrame, verdict: str = "all", search: str = "", ordered: bool = True) -> DataFrame:
     """Formatted rows of `audit_entities`, by verdict and case-insensitive pattern.
 
@@ -27,8 +32,8 @@ def verdict_view(tests: DataFrame, verdict: str = "all", search: str = "", order
     view = kept.select(
         F.col("name").alias("hero"),
         F.format_number("games", 0).alias("games"),
-        F.format_string("%.2f%%", F.col("win_rate") * 100).alias("win_rate"),
-        F.format_string("[%.2f%%, %.2f%%]", F.col("ci_low") * 100, F.col("ci_high") * 100).alias("interval_95"),
+        F.format_string("%.2f%%", percent("win_rate")).alias("win_rate"),
+        F.format_string("[%.2f%%, %.2f%%]", percent("ci_low"), percent("ci_high")).alias("interval_95"),
         F.when(F.col("q_value") < SMALL_Q, F.format_string("%.2e", "q_value"))
         .otherwise(F.format_string("%.4f", "q_value")).alias("q_value"),
         F.col("action").alias("verdict"),
