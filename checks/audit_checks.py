@@ -35,7 +35,7 @@ def p1(spark, sf):
         WHEN duration < 900 THEN 'too short' WHEN avg_rank_tier IS NULL THEN 'no rank' END AS reject_reason
     FROM listed""")
 def p2(spark, sf):
-    return tr.with_reject_reason(fx.arrays(spark, sf)).select("match_id", "reject_reason")
+    return tr.land_export(fx.export(spark, sf)).select("match_id", "reject_reason")
 
 
 @check("p3_p4_strata", """
@@ -52,7 +52,7 @@ def p5(spark, sf):
 @check("p6_landing_shape", """
     SELECT match_id, radiant_win, array_to_string(r, ' ') AS radiant_team, array_to_string(d, ' ') AS dire_team FROM listed""")
 def p6(spark, sf):
-    landing = fx.arrays(spark, sf).withColumn("radiant_win", F.col("radiant_win") == 1)
+    landing = tr.parse_export(fx.export(spark, sf)).withColumn("radiant_win", F.col("radiant_win") == 1)
     return tr.shape_landing(landing).select("match_id", "radiant_win", "radiant_team", "dire_team")
 
 

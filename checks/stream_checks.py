@@ -23,7 +23,7 @@ from evenhand.workspace import fresh_path, settle
 def landed(spark, sf) -> str:
     """The export as landing JSON in several files, every 97th trial twice."""
     path = fresh_path(spark, "landing")
-    api = fx.arrays(spark, sf).withColumn("radiant_win", F.col("radiant_win") == 1)
+    api = fx.arrays(spark, sf).drop("reject_reason").withColumn("radiant_win", F.col("radiant_win") == 1)
     api.repartition(4).write.json(f"{path}/a")
     api.filter(F.col("match_id") % 97 == 0).write.json(f"{path}/b")
     return path

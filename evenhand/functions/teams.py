@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def parse_team(cell: Column | str) -> Column:
     """`'14 42 18'` to `[14, 42, 18]`; any run of white space separates, empty text gives `[]`."""
-    words = F.split(F.trim(F.col(cell) if isinstance(cell, str) else cell), r"\s+")
+    text = F.col(cell) if isinstance(cell, str) else cell
+    # Splitting on one plain character avoids the regular-expression engine.
+    words = F.split(F.translate(text, "\t\n\r\f\v", "     "), " ")
     return F.array_remove(words, "").cast("array<int>")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.teams import all_distinct, format_team, has_null_or_zero, parse_team
+from evenhand.workspace import settle, spread
 
 SIDE_A, SIDE_B = "radiant", "dire"
 
@@ -40,7 +41,9 @@ def with_reject_reason(trials: DataFrame, **rules) -> DataFrame:
 
 
 def valid_trials(trials: DataFrame, **rules) -> DataFrame:
-    """Only trials that pass every rule of `reject_reason`."""
+    """Only trials that pass every rule of `reject_reason`; a stored reason is used as it is."""
+    if "reject_reason" in trials.columns:
+        return trials.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     return trials.filter(reject_reason(**rules).isNull())
 
 
@@ -49,6 +52,16 @@ def parse_export(export: DataFrame, teams: tuple[str, str] = ("radiant_team", "d
     return export.withColumns({t: parse_team(t) for t in teams})
 
 
+def land_export(export: DataFrame, teams: tuple[str, str] = ("radiant_team", "dire_team"), **rules) -> DataFrame:
+    """Export rows as a stored Parquet table with team arrays and `reject_reason`.
+
+    Parsing and checking run once per row here. Filtering unparsed rows directly would make the
+    optimizer repeat the parsing inside the filter; on the stored table the mode and the reason
+    are plain column filters that reach the scan.
+    """
+    return settle(with_reject_reason(parse_export(spread(export), teams), **rules), "landed")
+
+
 def shape_landing(landing: DataFrame) -> DataFrame:
     """API objects to export rows: boolean outcome to 0/1, team lists to text."""
     return landing.select(

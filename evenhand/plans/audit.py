@@ -41,7 +41,7 @@ class Audit:
 
 
 def prepare_trials(export: DataFrame, mode: int | None = 22) -> DataFrame:
-    """Export rows (teams as arrays) to the audited trials: one mode, valid, each id once, stored."""
+    """Landed export rows (`land_export`) to the audited trials: one mode, valid, each id once, stored."""
     return settle(tr.with_strata(tr.first_per_trial(tr.valid_trials(tr.in_mode(export, mode)))), "trials")
 
 

@@ -55,3 +55,12 @@ def settle(df: DataFrame, label: str = "settled", schema: T.StructType | None =
     df.write.parquet(path)
     reader = spark.read.schema(schema if schema is not None else df.schema)
     return reader.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows if they come from fewer files than there are cores.
+
+    Files of one row group are read by one task each. Sources with enough files are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
