@@ -144,7 +144,7 @@ def w3(spark, sf):
     parts = [
         trials.agg(F.count_if(train).alias("train_rows"), F.count_if(test).alias("test_rows"),
                    F.min(F.when(test, F.col("match_id"))).alias("first_test")).withColumn("fold", F.lit(i))
-        for i, (train, test) in enumerate(folds.expanding_folds(trials, 4))
+        for i, (train, test, _) in enumerate(folds.expanding_folds(trials, 4))
     ]
     return fx.union_all(parts)
 

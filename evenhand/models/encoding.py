@@ -32,7 +32,7 @@ def vocabulary(
 
 def entity_index(trials: DataFrame, entity: str = "hero_id", **teams) -> DataFrame:
     """Contiguous column number `col` over the sorted distinct entities."""
-    return settle(with_global_index(vocabulary(trials, entity=entity, **teams), entity, "col"), "index")
+    return with_global_index(vocabulary(trials, entity=entity, **teams), entity, "col")
 
 
 def dense_lookup(
@@ -40,15 +40,15 @@ def dense_lookup(
 ) -> Callable[[Column], Column] | None:
     """A function from id to value over an array indexed by id, or None if ids exceed `max_id`.
 
-    `key` must be unique, so at most `max_id` + 1 rows come to the driver. The array travels as one
-    text literal that the optimizer folds.
+    `key` must be unique, so a table that fits has at most `max_id` + 1 rows; no more than one row
+    beyond that comes to the driver. The array travels as one text literal that the optimizer folds.
     """
-    low, high = table.agg(F.min(key), F.max(key)).first()
-    if low is None or low < 0 or high > max_id:
+    rows = table.select(key, value).limit(max_id + 2).collect() if max_id > 0 else []
+    if not rows or len(rows) > max_id + 1 or any(not 0 <= key <= max_id for key, _ in rows):
         return None
-    slots = [missing] * (int(high) + 1)
-    for row in table.select(key, value).collect():
-        slots[int(row[0])] = repr(row[1])
+    slots = [missing] * (int(max(key for key, _ in rows)) + 1)
+    for key, value in rows:
+        slots[int(key)] = repr(value)
     array = F.split(F.lit(",".join(slots)), ",").cast(f"array<{kind}>")
     return lambda ids: F.get(array, ids)
 
@@ -170,7 +170,7 @@ def kept_columns(counts: DataFrame, n: int, min_occurrences: int) -> DataFrame:
     spark = counts.sparkSession
     entities = spark.range(n).select(F.col("id").cast("int").alias("col"))
     pairs = counts.filter(F.col("n") >= min_occurrences).select("col")
-    return settle(with_global_index(entities.unionByName(pairs), "col", "new_col"), "kept")
+    return with_global_index(entities.unionByName(pairs), "col", "new_col")
 
 
 def trim(encoded: DataFrame, kept: DataFrame, carry: Sequence[str] = ("radiant_win",), trial: str = "match_id",

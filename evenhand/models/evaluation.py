@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.special import chi_square_1_p
-from evenhand.operators.ranking import ROWS_PER_RANGE, exact_quantiles, running
+from evenhand.operators.ranking import ROWS_PER_RANGE, exact_quantiles, running, with_range
+from evenhand.workspace import settle
 
 _EPS = 2.220446049250313e-16
 
@@ -30,10 +31,12 @@ def area_under_roc(
 
     Rows are first counted per distinct score, then negatives are summed along the score.
     """
+    predictions = settle(predictions, "predictions")
     counts = predictions.groupBy(*by, p).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")
     )
-    ranked = running(counts, p, F.col("neg"), "neg_to_here", by, rows_per_range=rows_per_range)
+    ranged = with_range(counts, [*by, p], rows_per_range, at_most=predictions.count())
+    ranked = running(ranged, p, F.col("neg"), "neg_to_here", by)
     wins = F.col("pos").cast("double") * (F.col("neg_to_here") - F.col("neg") / 2)
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.groupBy(*by).agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
@@ -44,6 +47,7 @@ def metrics(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Accuracy at p >= 0.5, log loss, Brier score and exact AUC per group."""
+    predictions = settle(predictions, "predictions")
     pc, yc = F.col(p), F.col(y)
     scores = predictions.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),

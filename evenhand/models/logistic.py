@@ -17,7 +17,7 @@ from evenhand.models.folds import expanding_folds
 
 def fit(
     train: DataFrame, c: float, rows: int | None = None, label: str = "radiant_win", features: str = "features",
-    max_iter: int = 200, tol: float = 1e-8,
+    max_iter: int = 200, tol: float = 1e-6,
 ) -> LogisticRegressionModel:
     """Minimise half the squared norm of the weights plus `c` times the summed loss.
 
@@ -42,7 +42,7 @@ def predict(model, rows: DataFrame, name: str, label: str = "radiant_win", trial
 
 def search(
     train: DataFrame, grid: Sequence[float], k: int, label: str = "radiant_win", order: str = "match_id",
-    parallelism: int = 4, **fit_options,
+    parallelism: int = 8, **fit_options,
 ) -> tuple[float, list[tuple[float, float]]]:
     """The first best value of C by mean negative log loss over expanding folds, and all scores.
 
@@ -52,8 +52,9 @@ def search(
 
     def score(job: tuple[float, int]) -> float:
         c, i = job
-        model = fit(train.filter(folds[i][0]), c, label=label, **fit_options)
-        tested = predict(model, train.filter(folds[i][1]), "fold", label, order)
+        earlier, block, rows = folds[i]
+        model = fit(train.filter(earlier), c, rows, label, **fit_options)
+        tested = predict(model, train.filter(block), "fold", label, order)
         return -tested.agg(F.avg(log_loss(F.col("p"), F.col("y")))).first()[0]
 
     jobs = [(c, i) for c in grid for i in range(k)]

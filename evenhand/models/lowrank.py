@@ -63,15 +63,21 @@ class LowRank:
         va, pa, qa = self.sums(a)
         vd, pd_, qd = self.sums(d)
         e = error[:, None]
-        g = LowRank(*(np.zeros_like(x) for x in (self.w, self.v, self.p, self.q)), float(error.sum()))
-        for side, sign, v_sum, q_other, p_other in ((a, 1.0, va, qd, pd_), (d, -1.0, vd, qa, pa)):
-            for slot in range(side.shape[1]):
-                col = side[:, slot]
-                np.add.at(g.w, col, sign * error)
-                np.add.at(g.v, col, sign * e * (v_sum - self.v[col]))
-                np.add.at(g.p, col, sign * e * q_other)
-                np.add.at(g.q, col, -sign * e * p_other)
-        return g.flat()
+        on_a, on_d = self.indicator(a), self.indicator(d)
+        w_a, w_d = on_a.T @ error, on_d.T @ error
+        return LowRank(
+            w_a - w_d,
+            # d synergy / d v_i is the side's sum without v_i itself.
+            on_a.T @ (e * va) - on_d.T @ (e * vd) - (w_a - w_d)[:, None] * self.v,
+            on_a.T @ (e * qd) - on_d.T @ (e * qa),
+            on_d.T @ (e * pa) - on_a.T @ (e * pd_),
+            float(error.sum()),
+        ).flat()
+
+    def indicator(self, side: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(side), len(self.w)))
+        out[np.arange(len(side))[:, None], side] = 1.0
+        return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -88,11 +94,14 @@ def with_sides(encoded: DataFrame) -> DataFrame:
 
 
 _VAL_LOSS, _VAL_ROWS = -1, -2
+_INDICATOR_CELLS = 2_000_000  # bounds the memory of one gradient step in a task
 
 
 def _step(rows: DataFrame, params: LowRank, label: str) -> dict[int, float]:
     """Gradient over training rows and log loss over validation rows, in one job."""
 
+    chunk = max(1, _INDICATOR_CELLS // len(params.w))
+
     def partial(batches):
         total = np.zeros(params.flat().size)
         loss, held_out = 0.0, 0
@@ -106,7 +115,9 @@ def _step(rows: DataFrame, params: LowRank, label: str) -> dict[int, float]:
             clipped = np.clip(prob[val], 1e-6, 1 - 1e-6)
             loss -= float(np.where(y[val] == 1, np.log(clipped), np.log1p(-clipped)).sum())
             held_out += int(val.sum())
-            total += params.gradient(a[~val], d[~val], (prob - y)[~val])
+            a, d, error = a[~val], d[~val], (prob - y)[~val]
+            for at in range(0, len(a), chunk):
+                total += params.gradient(a[at:at + chunk], d[at:at + chunk], error[at:at + chunk])
         used = np.flatnonzero(total)
         yield pd.DataFrame({
             "slot": np.concatenate([used, [_VAL_LOSS, _VAL_ROWS]]).astype(np.int32),

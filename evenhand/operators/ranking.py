@@ -9,7 +9,7 @@ each wanted rank, and only bucket summaries leave the executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +19,17 @@ from evenhand.workspace import settle
 ROWS_PER_RANGE = 1_000_000
 
 
-def with_range(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def with_range(
+    df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None
+) -> DataFrame:
     """Add `_range`, a number that rises with `keys`; about `rows_per_range` rows share a value.
 
     The range number is the partition id of a range shuffle, so the result is written before use:
     every later job then sees the same ranges. Results built on them are exact for any limits.
+    A known bound on the number of rows, `at_most`, saves the count where one range is enough.
     """
+    if at_most is not None and at_most <= rows_per_range:
+        return df.withColumn("_range", F.lit(0))
     table = settle(df, "keys")
     ranges = math.ceil(table.count() / rows_per_range)
     if ranges <= 1:
@@ -42,15 +47,15 @@ def running(
     by: Sequence[str] = (),
     how: str = "sum",
     descending: bool = False,
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add `name`: the inclusive running sum or minimum of `value` along `key`, within `by`.
 
-    `key` must be unique within `by` (aggregate ties before calling) and `by` not null. No group is
-    held in one task, however many rows it has: each (group, range) is one.
+    `df` comes from `with_range` over `by` and `key`. `key` must be unique within `by` (aggregate
+    ties before calling) and `by` not null. No group is held in one task, however many rows it has:
+    each (group, range) is one.
     """
     fold = {"sum": F.sum, "min": F.min}[how]
-    ordered = with_range(df.withColumn("_value", value), [*by, key], rows_per_range)
+    ordered = df.withColumn("_value", value)
 
     def along(column: str) -> Column:
         return F.col(column).desc() if descending else F.col(column).asc()
@@ -60,6 +65,8 @@ def running(
     )
     before = Window.partitionBy(*by).orderBy(along("_range")).rowsBetween(Window.unboundedPreceding, -1)
     local = ordered.withColumn("_local", fold("_value").over(inside))
+    if "_range" not in df.columns:
+        raise ValueError("running needs the ranges of with_range")
     carry = (
         ordered.groupBy(*by, "_range").agg(fold("_value").alias("_total"))
         .select(*by, "_range", fold("_total").over(before).alias("_carry"))
@@ -76,22 +83,24 @@ def with_global_index(
     df: DataFrame, key: str, name: str = "row_index", rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add a contiguous index from 0 along a unique key."""
-    numbered = running(df, key, F.lit(1).cast("bigint"), name, rows_per_range=rows_per_range)
-    return numbered.withColumn(name, F.col(name) - 1)
+    numbered = running(with_range(df, [key], rows_per_range), key, F.lit(1).cast("bigint"), name)
+    return numbered.withColumn(name, F.col(name) - 1).drop("_range")
 
 
 def order_statistics(
-    df: DataFrame, column: str, ranks: Sequence[int], buckets: int = 2048
+    df: DataFrame, column: str, ranks: Sequence[int] | Callable[[int], Sequence[int]], buckets: int = 2048
 ) -> dict[int, float | int]:
     """The exact values at the given 0-based ranks of a numeric column (nulls left out).
 
+    `ranks` may be a function of the row count. Ranks beyond the rows are absent from the result.
+
     Each pass counts a histogram over the value ranges still open and collects at most
     `len(ranks) * buckets` summary rows. A range closes once it holds a single distinct value, so
     a value shared by any number of rows costs nothing extra.
     """
     values = df.select(F.col(column).alias("x")).filter(F.col("x").isNotNull())
     low, high, rows = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
-    wanted = sorted({r for r in ranks if 0 <= r < rows})
+    wanted = sorted({r for r in (ranks(rows) if callable(ranks) else ranks) if 0 <= r < rows})
     found: dict[int, float | int] = {}
     # Open ranges: (low, high, rank of the first row in the range, wanted ranks inside).
     open_ranges = [(low, high, 0, wanted)] if wanted else []
@@ -129,11 +138,15 @@ def order_statistics(
 
 def exact_quantiles(df: DataFrame, column: str, points: Sequence[float]) -> list[float]:
     """Exact quantiles with linear interpolation between neighbouring ranks."""
-    rows = df.select(F.count(column)).first()[0]
-    if rows == 0:
+    at: list[float] = []
+
+    def ranks(rows: int) -> list[int]:
+        at.extend(q * (rows - 1) for q in points)
+        return [f(h) for h in at for f in (math.floor, math.ceil)]
+
+    values = order_statistics(df, column, ranks)
+    if not values:
         return [math.nan] * len(points)
-    at = [q * (rows - 1) for q in points]
-    values = order_statistics(df, column, [f(h) for h in at for f in (math.floor, math.ceil)])
     out = []
     for h in at:
         lo, hi = values[math.floor(h)], values[math.ceil(h)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions.proportions import wilson_interval
 from evenhand.functions.special import binomial_p, correlation_p
-from evenhand.operators.ranking import ROWS_PER_RANGE, running
+from evenhand.operators.ranking import ROWS_PER_RANGE, running, with_range
 from evenhand.operators.rates import low_high_pairs, top_divergence, usable_strata
 from evenhand.workspace import settle
 
@@ -59,11 +59,11 @@ def adjust_false_discovery(
     tests = settle(tests, "tests")
     sizes = tests.groupBy(*family).agg(F.count(p).alias("_m"))
     steps = tests.filter(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(steps, p, F.col("_n"), "_rank", family, rows_per_range=rows_per_range)
+    ranged = with_range(steps, [*family, p], rows_per_range, at_most=tests.count())
+    ranked = running(ranged, p, F.col("_n"), "_rank", family)
     with_m = ranked.join(sizes, list(family)) if family else ranked.withColumn("_m", sizes.scalar())
     stepped = running(
-        with_m, p, F.col(p) * F.col("_m") / F.col("_rank"), "_q", family, how="min",
-        descending=True, rows_per_range=rows_per_range,
+        with_m, p, F.col(p) * F.col("_m") / F.col("_rank"), "_q", family, how="min", descending=True
     )
     q = stepped.select(*family, p, F.least(F.lit(1.0), F.col("_q")).alias("q_value"))
     return (

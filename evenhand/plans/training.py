@@ -33,12 +33,11 @@ class Prepared:
     vectors: DataFrame
     train_vectors: DataFrame
     test_vectors: DataFrame
+    cut: int | None
 
     def split(self, table: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Split another table of the same trials at the same trial id."""
-        return folds.chronological_split(table, test_fraction=self.test_fraction)
-
-    test_fraction: float = 0.2
+        return folds.split_at(table, self.cut)
 
 
 def prepare(trials: DataFrame, test_fraction: float = 0.2) -> Prepared:
@@ -46,15 +45,14 @@ def prepare(trials: DataFrame, test_fraction: float = 0.2) -> Prepared:
 
     `trials` must be valid and hold each trial id once.
     """
-    stored = settle(trials.select("match_id", "bracket", "radiant_win", "radiant_team", "dire_team"), "trials")
-    index = encoding.entity_index(stored)
+    columns = ("match_id", "radiant_win", "bracket", "radiant_team", "dire_team")
+    index = settle(encoding.entity_index(trials), "index")
     n = index.count()
-    encoded = settle(encoding.encode(
-        stored, index, carry=("radiant_win", "bracket", "radiant_team", "dire_team")), "encoded")
-    train, test = folds.chronological_split(encoded, test_fraction=test_fraction)
-    vectors = encoding.as_vectors(encoded, n, ("match_id", "radiant_win", "bracket"))
-    train_vectors, test_vectors = folds.chronological_split(vectors, test_fraction=test_fraction)
-    return Prepared(stored, index, n, train, test, vectors, train_vectors, test_vectors, test_fraction)
+    encoded = settle(encoding.encode(trials, index, carry=columns[1:]), "encoded")
+    cut = folds.first_test_id(encoded, test_fraction=test_fraction)
+    vectors = encoding.as_vectors(encoded, n, columns[:3])
+    return Prepared(
+        encoded.select(*columns), index, n, *folds.split_at(encoded, cut), vectors, *folds.split_at(vectors, cut), cut)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:

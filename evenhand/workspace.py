@@ -47,14 +47,18 @@ def settle(df: DataFrame, label: str = "settled", schema: T.StructType | None =
     """Write `df` once to the shared folder and go on from the written table.
 
     Used where a result feeds several jobs: the scan behind it runs once, a lost executor costs
-    no recomputation, and later plans see true sizes. `schema` re-reads the same columns under
-    another type of equal layout (see `models.encoding.as_vectors`).
+    no recomputation, and later plans see true sizes. A table that is settled already is returned
+    as it is. `schema` re-reads the same columns under another type of equal layout (see
+    `models.encoding.as_vectors`).
     """
+    if getattr(df, "_settled", False):
+        return df
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    reader = spark.read.schema(schema if schema is not None else df.schema)
-    return reader.parquet(path)
+    table = spark.read.schema(schema if schema is not None else df.schema).parquet(path)
+    table._settled = True
+    return table
 
 
 def spread(df: DataFrame) -> DataFrame:
