@@ -53,7 +53,7 @@ CTES: dict[str, str] = {
     "raw_matches": RAW_MATCHES.format(orders="orders"),
     "listed": """SELECT *, CAST(str_split(radiant_team, ' ') AS INT[]) AS r,
         CAST(str_split(dire_team, ' ') AS INT[]) AS d FROM raw_matches""",
-    "trials": f"""SELECT match_id, start_time, duration, avg_rank_tier, avg_rank_tier // 10 AS bracket,
+    "trials": f"""SELECT match_id, start_time, duration, avg_rank_tier, CAST(avg_rank_tier // 10 AS BIGINT) AS bracket,
         radiant_win, r, d FROM listed WHERE game_mode = 22 AND {VALID}""",
     "facts": """SELECT match_id, bracket, 'radiant' AS side, unnest(r) AS hero_id, radiant_win AS won FROM trials
         UNION ALL

@@ -64,7 +64,7 @@ def e4(spark, sf):
 
 @check("e5_e6_j9_pair_terms", f"""WITH {PAIRS}
     SELECT match_id, CAST(col AS INT) AS col, CAST(val AS DOUBLE) AS val FROM paired
-    UNION ALL SELECT match_id, col, val FROM signed""")
+    UNION ALL SELECT match_id, CAST(col AS INT), CAST(val AS DOUBLE) FROM signed""")
 def e6(spark, sf):
     enc, index = encoded(spark, sf)
     return encoding.long_form(encoding.with_pairs(enc, index.count()))

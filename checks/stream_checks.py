@@ -40,7 +40,7 @@ ACCEPTED = """valid AS (SELECT * FROM listed WHERE len(r) = 5 AND len(d) = 5 AND
 
 
 @check("st1_s3_ingest", f"""WITH {ACCEPTED}
-    SELECT match_id, start_time, game_mode, radiant_win, array_to_string(r, ' ') AS radiant_team, avg_rank_tier // 10 AS bracket FROM valid""")
+    SELECT match_id, start_time, game_mode, radiant_win, array_to_string(r, ' ') AS radiant_team, CAST(avg_rank_tier // 10 AS BIGINT) AS bracket FROM valid""")
 def st1(spark, sf):
     return st.stored_trials(spark, run_ingest(spark, sf)).select(
         "match_id", "start_time", "game_mode", "radiant_win", F.array_join("radiant_team", " ").alias("radiant_team"), "bracket")

@@ -10,7 +10,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     """Write rows as Parquet or CSV (with a header), optionally partitioned by columns."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # Quotes inside a field are doubled, as other CSV readers expect.
+        writer = writer.options(header=True, quote='"', escape='"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
