@@ -67,7 +67,7 @@ def e4(spark, sf):
     UNION ALL SELECT match_id, CAST(col AS INT), CAST(val AS DOUBLE) FROM signed""")
 def e6(spark, sf):
     enc, index = encoded(spark, sf)
-    return encoding.long_form(encoding.with_pairs(enc, index.count()))
+    return encoding.pairwise_rows(settle(enc, "encoded"), index.count())
 
 
 @check("e7_kept_columns", f"""WITH {PAIRS}, c AS (SELECT col FROM paired GROUP BY col HAVING COUNT(*) >= 30
@@ -316,17 +316,26 @@ def m12(spark, sf):
                          F.round("edge_pp", 6).alias("edge_pp"), "comparison")
 
 
-@check("m12_k6_contributions", f"""
+CONTRIBUTIONS = f"""
     WITH l AS ({LINE_UPS}), ok AS (SELECT * FROM l WHERE NOT list_contains(list_concat(r, d), 0)
         AND len(list_distinct(list_concat(r, d))) = 10),
     c AS (SELECT match_id, 'radiant' AS side, unnest(r) AS h, 1 AS s FROM ok UNION ALL SELECT match_id, 'dire', unnest(d), -1 FROM ok)
     SELECT match_id, side, h AS hero_id, round(s * {W}, 9) AS log_odds,
         CAST(row_number() OVER (PARTITION BY match_id ORDER BY abs(s * {W}) DESC, h) AS INT) AS place
-    FROM c WHERE h % 10 <> 9""")
+    FROM c WHERE h % 10 <> 9"""
+
+
+@check("m12_k6_contributions", CONTRIBUTIONS)
 def m12_parts(spark, sf):
     return scoring.contributions(line_ups(spark, sf), known_weights(spark, sf)).withColumn("log_odds", F.round("log_odds", 9))
 
 
+@check("m12_contributions_by_join", CONTRIBUTIONS)
+def m12_join(spark, sf):
+    parts = scoring.contributions(line_ups(spark, sf), known_weights(spark, sf), max_id=0)
+    return parts.withColumn("log_odds", F.round("log_odds", 9))
+
+
 # --- fitted models: properties and metrics only ----------------------------------------------------
 
 

@@ -135,15 +135,30 @@ def long_form(encoded: DataFrame, trial: str = "match_id") -> DataFrame:
     return encoded.select(trial, F.inline("terms"))
 
 
+def pair_rows(encoded: DataFrame, n: int, keep: Sequence[str] = ("match_id",)) -> DataFrame:
+    """One row per trial and pair column: the terms of `pair_terms` as rows.
+
+    Two generators instead of nested array functions, so the whole step is compiled.
+    """
+    low = encoded.select(*keep, "terms", F.posexplode("terms").alias("at", "low"))
+    pairs = low.select(*keep, "low", F.explode(F.slice("terms", F.col("at") + 2, F.size("terms"))).alias("high"))
+    together = F.col("low.val") == F.col("high.val")
+    base = F.when(together, F.lit(n)).otherwise(F.lit(n + pair_count(n)))
+    return pairs.select(
+        *keep, (base + pair_position(F.col("low.col"), F.col("high.col"), n)).alias("col"), F.col("low.val").alias("val"))
+
+
+def pairwise_rows(encoded: DataFrame, n: int, trial: str = "match_id") -> DataFrame:
+    """All three blocks in long form. Pass a stored table; it is read for each part."""
+    return long_form(encoded, trial).unionByName(pair_rows(encoded, n, (trial,)))
+
+
 def pair_occurrences(encoded: DataFrame, n: int) -> DataFrame:
     """Trials in which each pair column is non-zero, zero counts included.
 
-    Only the pair terms are built; they combine map-side into at most n(n-1) counts.
+    The pair rows combine map-side into at most n(n-1) counts.
     """
-    seen = (
-        encoded.select(F.explode(pair_terms(F.col("terms"), n)).alias("t"))
-        .groupBy(F.col("t.col").alias("col")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    seen = pair_rows(encoded, n, ()).groupBy("col").agg(F.count(F.lit(1)).alias("n"))
     spark = encoded.sparkSession
     universe = spark.range(n, n + 2 * pair_count(n)).select(F.col("id").cast("int").alias("col"))
     return universe.join(seen, "col", "left").select(

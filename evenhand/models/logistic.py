@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.models.evaluation import log_loss
 from evenhand.models.folds import expanding_folds
+from evenhand.workspace import gather
 
 
 def fit(
@@ -29,7 +31,7 @@ def fit(
     return LogisticRegression(
         featuresCol=features, labelCol=label, regParam=1.0 / (c * rows), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter, tol=tol,
-    ).fit(train)
+    ).fit(gather(train, rows))
 
 
 def predict(model, rows: DataFrame, name: str, label: str = "radiant_win", trial: str = "match_id") -> DataFrame:
@@ -40,6 +42,12 @@ def predict(model, rows: DataFrame, name: str, label: str = "radiant_win", trial
     )
 
 
+def concurrently(spark: SparkSession, jobs: Sequence[Callable], parallelism: int = 8) -> list:
+    """Run independent driver-side calls a few at a time; each one is a distributed Spark job."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
+
+
 def search(
     train: DataFrame, grid: Sequence[float], k: int, label: str = "radiant_win", order: str = "match_id",
     parallelism: int = 8, **fit_options,
@@ -57,9 +65,8 @@ def search(
         tested = predict(model, train.filter(block), "fold", label, order)
         return -tested.agg(F.avg(log_loss(F.col("p"), F.col("y")))).first()[0]
 
-    jobs = [(c, i) for c in grid for i in range(k)]
-    with ThreadPool(parallelism) as pool:
-        scores = pool.map(inheritable_thread_target(train.sparkSession)(score), jobs)
+    jobs = [partial(score, (c, i)) for c in grid for i in range(k)]
+    scores = concurrently(train.sparkSession, jobs, parallelism)
     means = [(c, sum(scores[g * k:(g + 1) * k]) / k) for g, c in enumerate(grid)]
     best = max(means, key=lambda m: m[1])[0]
     return best, means

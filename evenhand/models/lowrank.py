@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenhand.models.folds import chronological_split
-from evenhand.workspace import settle
+from evenhand.workspace import gather, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -138,6 +138,7 @@ def fit(
     cut = held_out.agg(F.min(trial)).first()[0]
     marked = settle(rows.withColumn("held_out", F.col(trial) >= F.lit(cut) if cut is not None else F.lit(False)), "lineups")
     train_rows, rate = marked.filter(~F.col("held_out")).agg(F.count(F.lit(1)), F.avg(label)).first()
+    marked = gather(marked, train_rows)
 
     rng = np.random.default_rng(seed)
     start = LowRank(np.zeros(n), *(rng.normal(0, 0.01, (n, rank)) for _ in range(3)), math.log(rate / (1 - rate)))

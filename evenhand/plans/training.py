@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -131,10 +131,11 @@ def reduced_pairwise_report(
 def low_rank_report(data: Prepared, ranks: Sequence[int] = (2, 4, 8), steps: int = 60) -> DataFrame:
     """Held-out metrics of the low-rank model at several ranks."""
     train, test = lowrank.with_sides(data.train), lowrank.with_sides(data.test)
-    return _union([
-        evaluation.metrics(lowrank.predict(lowrank.fit(train, data.n, rank, steps=steps), test, f"low_rank_{rank}"))
-        for rank in ranks
-    ])
+    def one(rank: int) -> DataFrame:
+        return lowrank.predict(lowrank.fit(train, data.n, rank, steps=steps), test, f"low_rank_{rank}")
+
+    return evaluation.metrics(_union(
+        logistic.concurrently(train.sparkSession, [partial(one, rank) for rank in ranks])))
 
 
 def ceiling(data: Prepared, c: float = 100.0) -> DataFrame:
@@ -162,16 +163,20 @@ def all_predictions(
     data: Prepared, logistic_c: float = 0.01, pairwise_c: float = 0.003, boosting_iterations: int = 400
 ) -> DataFrame:
     """Held-out predictions of all models at given settings, as one stored table."""
-    vectors, _ = _pairwise_vectors(data)
-    pair_train, pair_test = data.split(vectors)
-    parts = [
-        majority_class(data.train, data.test),
-        solo_rate_sum(data),
-        logistic.predict(logistic.fit(data.train_vectors, logistic_c), data.test_vectors, BASE),
-        logistic.predict(logistic.fit(pair_train, pairwise_c), pair_test, "logreg_pairwise"),
-        logistic.predict(boosting.fit(data.train_vectors, boosting_iterations), data.test_vectors, "gradient_boosting"),
-    ]
-    return settle(_union(parts), "predictions")
+    def linear() -> DataFrame:
+        return logistic.predict(logistic.fit(data.train_vectors, logistic_c), data.test_vectors, BASE)
+
+    def pairwise() -> DataFrame:
+        train, test = data.split(_pairwise_vectors(data)[0])
+        return logistic.predict(logistic.fit(train, pairwise_c), test, "logreg_pairwise")
+
+    def boosted() -> DataFrame:
+        model = boosting.fit(data.train_vectors, boosting_iterations)
+        return logistic.predict(model, data.test_vectors, "gradient_boosting")
+
+    parts = logistic.concurrently(
+        data.vectors.sparkSession, [boosted, pairwise, linear, partial(solo_rate_sum, data)])
+    return settle(_union([majority_class(data.train, data.test), *parts]), "predictions")
 
 
 def comparison(predictions: DataFrame, base: str = BASE) -> DataFrame:
@@ -189,20 +194,23 @@ def comparison(predictions: DataFrame, base: str = BASE) -> DataFrame:
 def stratum_report(data: Prepared, c: float = 0.01, stratum: str = "bracket") -> DataFrame:
     """Accuracy and other metrics of one model per stratum, each split at the common trial id."""
     strata = [r[0] for r in data.vectors.select(stratum).distinct().orderBy(stratum).collect()]
-    parts = []
-    for s in strata:
+
+    def one(s) -> DataFrame:
         here = F.col(stratum) == s
         model = logistic.fit(data.train_vectors.filter(here), c)
-        parts.append(logistic.predict(model, data.test_vectors.filter(here), f"{stratum}_{s}"))
+        return logistic.predict(model, data.test_vectors.filter(here), f"{stratum}_{s}")
+
+    parts = logistic.concurrently(data.vectors.sparkSession, [partial(one, s) for s in strata])
     return evaluation.metrics(_union(parts))
 
 
 def learning_curve(data: Prepared, c: float = 0.01, fractions: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Held-out metrics after training on growing earliest parts of the training trials."""
-    parts = []
-    for fraction in fractions:
+    def one(fraction: float) -> DataFrame:
         rows = folds.with_row_fraction(data.train_vectors, fraction)
-        parts.append(logistic.predict(logistic.fit(rows, c), data.test_vectors, f"fraction_{fraction}"))
+        return logistic.predict(logistic.fit(rows, c), data.test_vectors, f"fraction_{fraction}")
+
+    parts = logistic.concurrently(data.vectors.sparkSession, [partial(one, f) for f in fractions])
     return evaluation.metrics(_union(parts))
 
 

@@ -54,16 +54,17 @@ def ingest(
     A batch owns the folder `batch=<id>`, so a repeated batch replaces its own rows only.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_per_trial(accept(batch))
+        unique = first_per_trial(accept(batch)).persist()
+        fresh = unique
         if batch_id > 0:
-            stored = stored_trials(spark, table).filter(F.col("batch") < batch_id)
+            stored = stored_trials(batch.sparkSession, table).filter(F.col("batch") < batch_id)
             if lookback_days is not None:
-                first, last = accept(batch).agg(F.min("day"), F.max("day")).first()
+                first, last = unique.agg(F.min("day"), F.max("day")).first()
                 stored = stored.filter(
                     F.col("day").between(F.date_sub(F.lit(first), lookback_days), F.date_add(F.lit(last), lookback_days)))
-            fresh = fresh.join(stored.select("match_id"), "match_id", "left_anti")
+            fresh = unique.join(stored.select("match_id"), "match_id", "left_anti")
         fresh.write.mode("overwrite").partitionBy("day").parquet(f"{table}/batch={batch_id}")
+        unique.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -61,6 +61,14 @@ def settle(df: DataFrame, label: str = "settled", schema: T.StructType | None =
     return table
 
 
+def gather(df: DataFrame, rows: int, rows_per_task: int = 20_000) -> DataFrame:
+    """Merge tiny partitions of a table that an iterative fit reads again and again.
+
+    Only ever lowers the number of partitions, and only below one task per `rows_per_task` rows.
+    """
+    return df.coalesce(max(1, rows // rows_per_task))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute rows if they come from fewer files than there are cores.
 
