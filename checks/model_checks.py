@@ -354,6 +354,35 @@ def m3(spark, sf):
     return training.logistic_report(prepared(spark, sf))
 
 
+@check("m3_optimality", "SELECT COUNT(*) AS columns, true AS at_optimum FROM ids")
+def m3_optimality(spark, sf):
+    data = prepared(spark, sf)
+    model = logistic.fit(data.vectors, 0.1, tol=1e-12, max_iter=500)
+    return at_optimum(logistic.optimality_gap(model, data.vectors, data.train.unionByName(data.test), 0.1))
+
+
+@check("m4_optimality", "SELECT COUNT(*) * COUNT(*) AS columns, true AS at_optimum FROM ids")
+def m4_optimality(spark, sf):
+    data = prepared(spark, sf)
+    paired = settle(encoding.with_pairs(data.train.unionByName(data.test), data.n), "paired")
+    vectors = encoding.as_vectors(paired, data.n + 2 * encoding.pair_count(data.n))
+    model = logistic.fit(vectors, 0.003, tol=1e-12, max_iter=500)
+    return at_optimum(logistic.optimality_gap(model, vectors, paired, 0.003))
+
+
+def at_optimum(gap):
+    good = (F.col("largest_gap") < 1e-4) & (F.abs("summed_error") < 1e-2)
+    return gap.select("columns", good.alias("at_optimum"))
+
+
+@check("m8_in_sample_mean", "SELECT COUNT(*) AS n, round(avg(radiant_win), 5) AS mean_p FROM trials")
+def m8_mean(spark, sf):
+    """The unpenalised intercept makes the mean prediction equal the observed rate."""
+    data = prepared(spark, sf)
+    fitted = logistic.predict(logistic.fit(data.vectors, 100.0, tol=1e-12, max_iter=500), data.vectors, "ceiling")
+    return fitted.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 5).alias("mean_p"))
+
+
 @check("m8_ceiling")
 def m8(spark, sf):
     return evaluation.metrics(training.ceiling(prepared(spark, sf)))
@@ -395,12 +424,13 @@ def m7(spark, sf):
     return training.low_rank_report(prepared(spark, sf), ranks=(2, 4), steps=15)
 
 
-@check("m7_low_rank_antisymmetry")
+@check("m7_low_rank_antisymmetry", f"SELECT {N_TRAIN} AS n, true AS antisymmetric")
 def m7_error(spark, sf):
     data = prepared(spark, sf)
     sides = lowrank.with_sides(data.train)
     params = lowrank.fit(sides, data.n, rank=2, steps=3)
-    return lowrank.antisymmetry_error(params, sides)
+    error = lowrank.antisymmetry_error(params, sides)
+    return error.select("n", (F.col("max_error") < 1e-9).alias("antisymmetric"))
 
 
 @check("m13_model_comparison")

@@ -81,6 +81,28 @@ def search_and_fit(
     return fit(train, best, label=label, **options), best, scores
 
 
+def optimality_gap(
+    model: LogisticRegressionModel, vectors: DataFrame, encoded: DataFrame, c: float, label: str = "radiant_win",
+    trial: str = "match_id",
+) -> DataFrame:
+    """How far a fit on `vectors` is from the optimum of its objective: one row.
+
+    At the optimum every weight equals minus `c` times its column's summed error, and the errors
+    add up to zero. `encoded` holds the same trials as (col, val) terms.
+    """
+    error = predict(model, vectors, "fit", label, trial).select(trial, (F.col("p") - F.col("y")).alias("error"))
+    slopes = (
+        encoded.select(trial, F.inline("terms")).join(error, trial)
+        .groupBy("col").agg(F.sum(F.col("val") * F.col("error")).alias("slope"))
+    )
+    weights = vectors.sparkSession.createDataFrame(
+        [(i, float(w)) for i, w in enumerate(model.coefficients.toArray())], "col int, weight double")
+    gaps = weights.join(slopes, "col", "left").select(
+        F.abs(F.col("weight") + c * F.coalesce("slope", F.lit(0.0))).alias("gap"))
+    return gaps.agg(F.count(F.lit(1)).alias("columns"), F.max("gap").alias("largest_gap")).withColumn(
+        "summed_error", error.agg(F.sum("error")).scalar())
+
+
 def weight_table(model: LogisticRegressionModel, index: DataFrame, entity: str = "hero_id") -> DataFrame:
     """Coefficient of each indexed entity. The model itself is a driver object of that length."""
     spark = index.sparkSession
