@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import partial
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.models.evaluation import log_loss
 from evenhand.models.folds import expanding_folds
-from evenhand.workspace import gather
+from evenhand.workspace import concurrently, gather
 
 
 def fit(
@@ -42,12 +40,6 @@ def predict(model, rows: DataFrame, name: str, label: str = "radiant_win", trial
     )
 
 
-def concurrently(spark: SparkSession, jobs: Sequence[Callable], parallelism: int = 8) -> list:
-    """Run independent driver-side calls a few at a time; each one is a distributed Spark job."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
-
-
 def search(
     train: DataFrame, grid: Sequence[float], k: int, label: str = "radiant_win", order: str = "match_id",
     parallelism: int = 8, **fit_options,

@@ -81,16 +81,27 @@ def audit_entities(
     return with_verdict(with_interval(adjust_false_discovery(tested, alpha), alpha), tolerance)
 
 
-def verdict_summary(tests: DataFrame, alpha: float = 0.05, rate: str = "win_rate", entity: str = "hero_id") -> DataFrame:
+def flagged_names(tests: DataFrame, entity: str = "hero_id", rate: str = "win_rate") -> DataFrame:
+    """Flagged entities as rows, with their rate and action."""
+    return tests.filter("outside_tolerance").select(entity, "name", rate, "action")
+
+
+def verdict_summary(
+    tests: DataFrame, alpha: float = 0.05, rate: str = "win_rate", entity: str = "hero_id", list_limit: int = 10_000
+) -> DataFrame:
     """Counts before and after correction, and the flagged names ordered by rate.
 
-    The name lists hold flagged entities only, which is the report itself.
+    Lists of names are for reading: with more than `list_limit` flagged entities both are null, and
+    `flagged_names` gives them as rows.
     """
+    tests = settle(tests, "verdicts")
+    listed = flagged_names(tests, entity, rate).count() <= list_limit
+
     def names(which: str) -> Column:
-        flagged = F.collect_list(
-            F.when(F.col("action") == which, F.struct(rate, entity, "name"))
-        )
-        return F.transform(F.sort_array(flagged), lambda e: e["name"])
+        if not listed:
+            return F.lit(None).cast("array<string>")
+        chosen = F.collect_list(F.when(F.col("action") == which, F.struct(rate, entity, "name")))
+        return F.transform(F.sort_array(chosen), lambda e: e["name"])
 
     return tests.agg(
         F.count(F.lit(1)).alias("heroes_tested"),

@@ -13,7 +13,7 @@ from evenhand.operators import significance as sg
 from evenhand.operators import sizing as sz
 from evenhand.operators import trials as tr
 from evenhand.sources.sinks import write_report, write_table
-from evenhand.workspace import settle
+from evenhand.workspace import concurrently, settle
 
 
 @dataclass
@@ -52,18 +52,24 @@ def run_audit(trials: DataFrame, dimension: DataFrame, settings: Settings = Sett
     counts per (stratum, entity), and for the sides per stratum. Everything else rolls up from
     those counts.
     """
-    if check:
-        tr.assert_integrity(trials)
-    cells = settle(ra.count_outcomes(tr.entity_facts(trials), ["bracket", "hero_id"]), "cells")
-    sides = settle(ra.side_balance(trials, ["bracket"]), "sides")
+    spark = trials.sparkSession
+    _, cells, sides = concurrently(spark, [
+        lambda: tr.assert_integrity(trials) if check else None,
+        lambda: settle(ra.count_outcomes(tr.entity_facts(trials), ["bracket", "hero_id"]), "cells"),
+        lambda: settle(ra.side_balance(trials, ["bracket"]), "sides"),
+    ])
     side_total = sides.agg(F.sum("matches").alias("matches"), F.sum("radiant_wins").alias("radiant_wins"))
     side_total = side_total.withColumn("radiant_win_rate", ra.rate("radiant_wins", "matches"))
 
-    rates = settle(ra.entity_rates(ra.roll_up(cells, ["hero_id"]), dimension, trials), "rates")
-    by_stratum = settle(ra.stratum_rates(cells, dimension, min_games=settings.min_cell_games), "strata")
-    tests = settle(sg.audit_entities(rates, settings.min_games, settings.tolerance, settings.alpha), "verdicts")
-    sized = settle(sz.trials_needed(
-        ra.enough_games(rates, settings.min_games), settings.target_effect, settings.alpha, settings.power), "sized")
+    rates, by_stratum = concurrently(spark, [
+        lambda: settle(ra.entity_rates(ra.roll_up(cells, ["hero_id"]), dimension, trials), "rates"),
+        lambda: settle(ra.stratum_rates(cells, dimension, min_games=settings.min_cell_games), "strata"),
+    ])
+    tests, sized = concurrently(spark, [
+        lambda: settle(sg.audit_entities(rates, settings.min_games, settings.tolerance, settings.alpha), "verdicts"),
+        lambda: settle(sz.trials_needed(
+            ra.enough_games(rates, settings.min_games), settings.target_effect, settings.alpha, settings.power), "sized"),
+    ])
 
     def one(df: DataFrame):
         return df.select(F.struct("*")).scalar()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evenhand.models import boosting, encoding, evaluation, folds, logistic, lowrank, scoring
 from evenhand.sources.sinks import write_model
-from evenhand.workspace import fresh_path, settle
+from evenhand.workspace import concurrently, fresh_path, settle
 
 LOGISTIC_GRID = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
 PAIRWISE_GRID = (0.0003, 0.001, 0.003, 0.01)
@@ -135,7 +135,7 @@ def low_rank_report(data: Prepared, ranks: Sequence[int] = (2, 4, 8), steps: int
         return lowrank.predict(lowrank.fit(train, data.n, rank, steps=steps), test, f"low_rank_{rank}")
 
     return evaluation.metrics(_union(
-        logistic.concurrently(train.sparkSession, [partial(one, rank) for rank in ranks])))
+        concurrently(train.sparkSession, [partial(one, rank) for rank in ranks])))
 
 
 def ceiling(data: Prepared, c: float = 100.0) -> DataFrame:
@@ -174,7 +174,7 @@ def all_predictions(
         model = boosting.fit(data.train_vectors, boosting_iterations)
         return logistic.predict(model, data.test_vectors, "gradient_boosting")
 
-    parts = logistic.concurrently(
+    parts = concurrently(
         data.vectors.sparkSession, [boosted, pairwise, linear, partial(solo_rate_sum, data)])
     return settle(_union([majority_class(data.train, data.test), *parts]), "predictions")
 
@@ -200,7 +200,7 @@ def stratum_report(data: Prepared, c: float = 0.01, stratum: str = "bracket") ->
         model = logistic.fit(data.train_vectors.filter(here), c)
         return logistic.predict(model, data.test_vectors.filter(here), f"{stratum}_{s}")
 
-    parts = logistic.concurrently(data.vectors.sparkSession, [partial(one, s) for s in strata])
+    parts = concurrently(data.vectors.sparkSession, [partial(one, s) for s in strata])
     return evaluation.metrics(_union(parts))
 
 
@@ -210,7 +210,7 @@ def learning_curve(data: Prepared, c: float = 0.01, fractions: Sequence[float] =
         rows = folds.with_row_fraction(data.train_vectors, fraction)
         return logistic.predict(logistic.fit(rows, c), data.test_vectors, f"fraction_{fraction}")
 
-    parts = logistic.concurrently(data.vectors.sparkSession, [partial(one, f) for f in fractions])
+    parts = concurrently(data.vectors.sparkSession, [partial(one, f) for f in fractions])
     return evaluation.metrics(_union(parts))
 
 

@@ -99,7 +99,8 @@ def running_rates(
     """Entity rates, intervals and verdicts over all trials ingested so far.
 
     Counts combine map-side and the state is one row per entity. Every batch writes the whole
-    small table to its own folder `batch=<id>`.
+    small table to its own folder `batch=<id>`. Run it when `ingest` has finished: files of a batch
+    that is later repeated would be counted twice.
     """
     trials = in_mode(spark.readStream.schema(STORED).parquet(table), mode)
     counts = count_outcomes(entity_facts(trials), ["hero_id"])

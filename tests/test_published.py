@@ -56,6 +56,12 @@ def test_counts_of_flagged_entities(tests):
     assert row.expected_false_positives == pytest.approx(6.3)
 
 
+def test_long_lists_become_rows(tests):
+    row = sg.verdict_summary(tests, list_limit=17).first()
+    assert (row.outside_tolerance, row.nerf_candidates) == (18, None)
+    assert sg.flagged_names(tests).count() == 18
+
+
 def test_one_entity_in_full(tests):
     row = tests.filter("games = 1415 and wins = 597").first()
     assert row.p_value == pytest.approx(4.627626520746419e-09, rel=1e-9)
