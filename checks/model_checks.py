@@ -227,7 +227,7 @@ def a18(spark, sf):
     SELECT *, CASE WHEN statistic > 3.841458820694124 THEN 'significant' ELSE 'no significant difference' END AS verdict
     FROM (SELECT * REPLACE (round(statistic, 8) AS statistic), round(1 - 2 / sqrt(pi()) * exp(-statistic / 2)
         * (SELECT sum(exp(k * ln(2.0) + (2 * k + 1) * ln(sqrt(statistic / 2)) - (lgamma(2 * k + 2.0) - k * ln(2.0) - lgamma(k + 1.0))))
-           FROM unnest(generate_series(0, 300)) AS g(k)), 8) AS p_value FROM s)""")
+           FROM unnest(generate_series(0, 5000)) AS g(k)), 8) AS p_value FROM s)""")
 def t13(spark, sf):
     predictions = settle(fx.predictions(spark, sf), "predictions")
     tables = fx.union_all([evaluation.paired_correctness(predictions, "full", other) for other in ("half", "const")])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.models import boosting, encoding, evaluation, folds, logistic, lowrank, scoring
+from evenhand.sources.readers import read_model
 from evenhand.sources.sinks import write_model
 from evenhand.workspace import concurrently, fresh_path, settle
 
@@ -224,7 +225,8 @@ def save_and_load(
         "weights": logistic.weight_table(model, data.index),
         "solo_rates": scoring.shrunk_rates(data.train, data.index),
     }, path)
-    return LogisticRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/weights")
+    loaded, tables = read_model(spark, path)
+    return loaded, tables["weights"]
 
 
 def strongest_weights(weights: DataFrame, dimension: DataFrame, k: int = 15, entity: str = "hero_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,3 +48,11 @@ def read_latest_snapshot(
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A nested JSON report as a one-row DataFrame (schema inferred; the file is one record)."""
     return spark.read.option("multiLine", True).json(path)
+
+
+def read_model(
+    spark: SparkSession, path: str, side_tables: tuple[str, ...] = ("index", "weights", "solo_rates")
+) -> tuple[LogisticRegressionModel, dict[str, DataFrame]]:
+    """A model written by `sinks.write_model`, with its side tables."""
+    model = LogisticRegressionModel.load(f"{path}/model")
+    return model, {name: spark.read.parquet(f"{path}/{name}") for name in side_tables}
