@@ -41,7 +41,8 @@ def p2(spark, sf):
 @check("p3_p4_strata", """
     SELECT match_id, make_timestamp(start_time * 1000000) AS started_at, bracket FROM trials""")
 def p3(spark, sf):
-    return fx.trials(spark, sf).select("match_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "bracket")
+    utc = F.to_utc_timestamp("started_at", F.current_timezone()).cast("timestamp_ntz")
+    return fx.trials(spark, sf).select("match_id", utc.alias("started_at"), "bracket")
 
 
 @check("p5_j1_u1_entity_facts", "SELECT match_id, bracket, side, hero_id, won FROM facts")

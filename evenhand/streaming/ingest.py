@@ -25,7 +25,8 @@ def accept(landing: DataFrame) -> DataFrame:
     """Valid trials in table form: outcome as 0/1, strata, and the day they started."""
     shaped = valid_trials(landing).withColumn(
         "radiant_win", F.coalesce(F.col("radiant_win"), F.lit(False)).cast("int"))
-    return with_strata(shaped).withColumn("day", F.to_date("started_at"))
+    # The UTC day, whatever the session's time zone.
+    return with_strata(shaped).withColumn("day", F.expr("date_from_unix_date(CAST(start_time div 86400 AS INT))"))
 
 
 def newest(trials: DataFrame, target: int, before: int | None = None, trial: str = "match_id") -> DataFrame:
