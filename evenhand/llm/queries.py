@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from evenhand.llm import mixing, sharding, url_rules  # noqa: F401
+from evenhand.llm import chat, decontaminate, mixing, sharding, simhash, stream_dedup, substring_dedup, url_rules  # noqa: F401
 from evenhand.llm.registry import ORACLES, QUERIES  # noqa: F401
