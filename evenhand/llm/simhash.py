@@ -22,8 +22,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PIECE = 1 << 17  # shingles hashed at once
-STEP_BITS = 4
-LEAF_ROWS = 8_192
+STEP_BITS = 1
+LEAF_ROWS = 1 << 17
+FRONTIER = 1 << 19  # node pairs walked at once
 
 
 def simhash(text: bytes, shingle: int, seed: int) -> int:
@@ -67,11 +68,19 @@ def joint_walk(a: np.ndarray, b: np.ndarray, depth: int, spent: int, budget: int
     sorted values, with the bits in which their paths differ. A pair goes once that exceeds the
     budget; when few values are left under a pair they are compared directly.
     """
-    al, ah = np.array([0]), np.array([len(a)])
-    bl, bh, bits = np.array([0]), np.array([len(b)]), np.array([spent])
+    ones = [_ones_before(x) for x in ((a,) if same else (a, b))]
+    ones_a, ones_b = ones[0], ones[-1]
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for bit in range(depth, 65):
-        few = (ah - al) * (bh - bl) <= (16 if bit < 64 else np.iinfo(np.int64).max)
+    start = tuple(np.array([x]) for x in (0, len(a), 0, len(b), spent))
+    waiting = [(depth, start)]
+    while waiting:
+        bit, nodes = waiting.pop()
+        if len(nodes[0]) > FRONTIER:  # go on with one half; the other waits
+            half = len(nodes[0]) // 2
+            waiting += [(bit, tuple(x[half:] for x in nodes)), (bit, tuple(x[:half] for x in nodes))]
+            continue
+        al, ah, bl, bh, bits = nodes
+        few = ((ah - al) * (bh - bl) <= 16) | (bit == 64)
         if few.any():
             i0, j0, wide, high = al[few], bl[few], (bh - bl)[few], (ah - al)[few]
             n = wide * high
@@ -79,25 +88,37 @@ def joint_walk(a: np.ndarray, b: np.ndarray, depth: int, spent: int, budget: int
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             i, j = i0[which] + at // wide[which], j0[which] + at % wide[which]
             near = np.bitwise_count(a[i] ^ b[j]) <= budget
-            near &= (i < j) if same else True
+            if same:
+                near &= i < j
             found.append((i[near], j[near]))
-            al, ah, bl, bh, bits = (x[~few] for x in (al, ah, bl, bh, bits))
+            al, ah, bl, bh, bits = (x[~few] for x in nodes)
         if not len(al):
-            break
-        ones_a = np.concatenate([[0], np.cumsum(a >> np.uint64(63 - bit) & np.uint64(1))]).astype(np.int64)
-        ones_b = ones_a if same else np.concatenate([[0], np.cumsum(b >> np.uint64(63 - bit) & np.uint64(1))]).astype(np.int64)
-        am, bm = ah - (ones_a[ah] - ones_a[al]), bh - (ones_b[bh] - ones_b[bl])
+            continue
+        am, bm = ah - (ones_a(bit)[ah] - ones_a(bit)[al]), bh - (ones_b(bit)[bh] - ones_b(bit)[bl])
         mirrored = (al == bl) & (ah == bh) & same
         parts = [(al, am, bl, bm, bits), (am, ah, bm, bh, bits), (al, am, bm, bh, bits + 1),
                  (am, np.where(mirrored, am, ah), bl, bm, bits + 1)]
         al, ah, bl, bh, bits = (np.concatenate(x) for x in zip(*parts))
         alive = (ah > al) & (bh > bl) & (bits <= budget)
-        al, ah, bl, bh, bits = (x[alive] for x in (al, ah, bl, bh, bits))
+        waiting.append((bit + 1, tuple(x[alive] for x in (al, ah, bl, bh, bits))))
     if not found:
         return np.array([], np.int64), np.array([], np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _ones_before(values: np.ndarray):
+    """For a bit (0 is the highest): how many of the first n values have it set, for every n."""
+    kept: dict[int, np.ndarray] = {}
+
+    def at(bit: int) -> np.ndarray:
+        if bit not in kept:
+            set_bits = (values >> np.uint64(63 - bit) & np.uint64(1)).astype(np.int32)
+            kept[bit] = np.concatenate([[0], np.cumsum(set_bits, dtype=np.int32)])
+        return kept[bit]
+
+    return at
+
+
 def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
 
