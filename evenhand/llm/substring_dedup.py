@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -121,12 +121,12 @@ def _find(batches: Iterator[pa.RecordBatch], window: int, mmer: int) -> Iterator
             yield emit(k1, k2, words, sizes)
 
 
-PACKED = "k1 long, k2 long, minimiser long, hot boolean, start int, packed binary"
+PACKED = "k1 long, k2 long, minimiser long, start int, packed binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in PACKED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
         held = 0
@@ -135,7 +135,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             for run in runs.as_py():
                 start = run["start"]
                 packed = b" ".join(words[start:start + run["windows"] + window - 1])
-                rows.append((*key, run["minimiser"], run["hot"], start, packed))
+                rows.append((*key, run["minimiser"], start, packed))
                 held += len(packed)
             if held > 1 << 24:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -259,17 +259,21 @@ def remove_repeats(
         prepared.select("k1", "k2", "passage_text")
         .mapInArrow(lambda batches: _find(batches, window, mmer), "k1 long, k2 long, minimiser long, start int, windows int"), "super-kmers")
     recurring = settle(runs.groupBy("minimiser").agg(F.count("*").alias("times")).filter("times > 1"), "recurring-minimisers")
-    listed = runs.join(recurring, "minimiser").groupBy("k1", "k2").agg(
-        F.collect_set(F.struct("start", "windows", "minimiser", (F.col("times") > hot).alias("hot"))).alias("runs"))
-    packed = prepared.join(listed, ["k1", "k2"]).mapInArrow(lambda batches: _pack(batches, window), PACKED)
+    is_hot = F.col("times") > hot
+
+    def packed(which: Column) -> DataFrame:
+        listed = runs.join(recurring.filter(which), "minimiser").groupBy("k1", "k2").agg(
+            F.collect_set(F.struct("start", "windows", "minimiser")).alias("runs"))
+        return prepared.join(listed, ["k1", "k2"]).mapInArrow(lambda batches: _pack(batches, window), PACKED)
+
     spans = (
-        packed.filter("not hot").repartition("minimiser").sortWithinPartitions("minimiser")
-        .select("minimiser", "k1", "k2", "start", "packed")
+        packed(~is_hot).repartition("minimiser").sortWithinPartitions("minimiser")
         .mapInArrow(lambda batches: _count(batches, window), "k1 long, k2 long, from_word int, to_word int")
     )
-    if not recurring.filter(F.col("times") > hot).isEmpty():
-        loose = packed.filter("hot").mapInArrow(lambda batches: _windows(batches, window), "k1 long, k2 long, from_word int, words binary")
-        again = loose.groupBy("words").agg(F.count("*").alias("times")).filter("times > 1")
+    if not recurring.filter(is_hot).isEmpty():
+        loose = packed(is_hot).mapInArrow(lambda batches: _windows(batches, window), "k1 long, k2 long, from_word int, words binary")
+        # Written, so that the join meets plain shuffles on both sides and splits a window of very many places.
+        again = settle(loose.groupBy("words").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-hot-windows")
         spans = spans.unionByName(loose.join(again, "words").select("k1", "k2", "from_word", (F.col("from_word") + window).alias("to_word")))
     marks = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from_word", "to_word")).alias("spans"))
     kind = dict(docs.dtypes)[key]
