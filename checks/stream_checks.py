@@ -46,6 +46,38 @@ def st1(spark, sf):
         "match_id", "start_time", "game_mode", "radiant_win", F.array_join("radiant_team", " ").alias("radiant_team"), "bracket")
 
 
+def run_ingest_twice(spark, sf) -> str:
+    """Half of the trials, then all of them under a new checkpoint, with copies 30 days off."""
+    table = fresh_path(spark, "trials")
+    api = fx.arrays(spark, sf).drop("reject_reason").withColumn("radiant_win", F.col("radiant_win") == 1)
+    off = api.filter("match_id % 97 = 0").withColumn("start_time", F.col("start_time") - 30 * 86400)
+    undated = api.filter("match_id % 89 = 0").withColumn("start_time", F.lit(None).cast("long"))
+    for part in ([api.filter("match_id % 2 = 0")], [off, undated], [api]):
+        landing = fresh_path(spark, "landing")
+        for k, df in enumerate(part):
+            df.repartition(2).write.json(f"{landing}/{k}")
+        st.ingest(st.landing_stream(spark, f"{landing}/*", 1), table, fresh_path(spark, "progress")).awaitTermination()
+    return table
+
+
+@check("st1_new_checkpoints", f"WITH {ACCEPTED} SELECT match_id, radiant_win, CAST(avg_rank_tier // 10 AS BIGINT) AS bracket FROM valid")
+def st1_new_checkpoints(spark, sf):
+    return st.stored_trials(spark, run_ingest_twice(spark, sf)).select("match_id", "radiant_win", "bracket")
+
+
+@check("st1_old_first_arrivals", f"WITH {ACCEPTED} SELECT match_id FROM valid")
+def st1_old_first_arrivals(spark, sf):
+    """Trials that started long before those of earlier batches come through."""
+    landing, out, marks = (fresh_path(spark, x) for x in ("landing", "unique", "progress"))
+    api = fx.arrays(spark, sf).drop("reject_reason").withColumn("radiant_win", F.col("radiant_win") == 1)
+    for k, part in enumerate([api.filter("match_id % 2 = 0"), api.withColumn("start_time", F.col("start_time") - 40 * 86400)]):
+        part.coalesce(1).write.json(f"{landing}/{k}")
+        unique = st.unique_within(st.accept(st.landing_stream(spark, f"{landing}/*", 1)))
+        (unique.select("match_id").writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination())
+    return spark.read.schema("match_id long").parquet(out)
+
+
 @check("st1_watermark_unique", f"WITH {ACCEPTED} SELECT match_id, start_time FROM valid")
 def st1_watermark(spark, sf):
     landing, out = landed(spark, sf), fresh_path(spark, "unique")

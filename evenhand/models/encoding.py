@@ -19,7 +19,7 @@ from evenhand.operators.ranking import with_global_index
 from evenhand.workspace import settle
 
 # Ids up to this bound are looked up in an array literal inside the scan stage; beyond it, the
-# same functions join and regroup by trial.
+# same functions join and regroup by line-up. The plan changes, the result does not.
 MAX_DENSE_ID = 65_536
 
 
@@ -36,21 +36,24 @@ def entity_index(trials: DataFrame, entity: str = "hero_id", **teams) -> DataFra
 
 
 def dense_lookup(
-    table: DataFrame, key: str, value: str, kind: str, missing: str, max_id: int = MAX_DENSE_ID
+    table: DataFrame, key: str, value: str, kind: str, max_id: int = MAX_DENSE_ID
 ) -> Callable[[Column], Column] | None:
     """A function from id to value over an array indexed by id, or None if ids exceed `max_id`.
 
+    Ids of any integer type that the table does not hold give null.
+
     `key` must be unique, so a table that fits has at most `max_id` + 1 rows; no more than one row
     beyond that comes to the driver. The array travels as one text literal that the optimizer folds.
     """
     rows = table.select(key, value).limit(max_id + 2).collect() if max_id > 0 else []
+    rows = [(k, v) for k, v in rows if k is not None and v is not None]
     if not rows or len(rows) > max_id + 1 or any(not 0 <= key <= max_id for key, _ in rows):
         return None
-    slots = [missing] * (int(max(key for key, _ in rows)) + 1)
+    slots = ["-"] * (int(max(key for key, _ in rows)) + 1)
     for key, value in rows:
         slots[int(key)] = repr(value)
-    array = F.split(F.lit(",".join(slots)), ",").cast(f"array<{kind}>")
-    return lambda ids: F.get(array, ids)
+    array = F.split(F.lit(",".join(slots)), ",").try_cast(f"array<{kind}>")
+    return lambda ids: F.when((ids >= 0) & (ids < len(slots)), F.get(array, ids.try_cast("int")))
 
 
 def signed_ids(team_a: str = "radiant_team", team_b: str = "dire_team") -> Column:
@@ -70,17 +73,18 @@ def translate(
     Ids outside the mapping are dropped. Returns `trial`, the `carry` columns and the terms.
     """
     keep = [trial, *[c for c in carry if c != trial]]
-    lookup = dense_lookup(mapping, key, value, "int", "-1", max_id)
+    lookup = dense_lookup(mapping, key, value, "int", max_id)
     if lookup is not None:
-        mapped = F.transform(
-            terms, lambda t: F.struct(F.coalesce(lookup(t["id"].cast("int")), F.lit(-1)).alias("col"), t["val"].alias("val"))
-        )
-        return df.select(*keep, F.sort_array(F.filter(mapped, lambda t: t["col"] >= 0)).alias(name))
-    long = df.select(*keep, F.explode(terms).alias("t")).select(*keep, F.col("t.id").alias(key), F.col("t.val").alias("val"))
-    matched = long.join(mapping.select(key, F.col(value).cast("int").alias("col")), key)
-    per_trial = matched.groupBy(trial).agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias(name))
+        mapped = F.transform(terms, lambda t: F.struct(lookup(t["id"]).alias("col"), t["val"].alias("val")))
+        return df.select(*keep, F.sort_array(F.filter(mapped, lambda t: t["col"].isNotNull())).alias(name))
+    # Equal terms translate alike, so they are grouped by themselves: repeated trial ids do no harm.
+    marked = df.select(*keep, terms.alias("_terms"))
+    long = marked.select("_terms").distinct().select("_terms", F.explode("_terms").alias("t"))
+    matched = long.select("_terms", F.col("t.id").alias(key), F.col("t.val").alias("val")).join(
+        mapping.select(key, F.col(value).cast("int").alias("col")), key)
+    per_terms = matched.groupBy("_terms").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias(name))
     empty = F.array().cast("array<struct<col:int,val:double>>")
-    return df.select(*keep).join(per_trial, trial, "left").withColumn(name, F.coalesce(name, empty))
+    return marked.join(per_terms, "_terms", "left").select(*keep, F.coalesce(name, empty).alias(name))
 
 
 def encode(

@@ -47,4 +47,5 @@ def expanding_folds(rows: DataFrame, k: int, order: str = "match_id") -> list[tu
 
 def with_row_fraction(rows: DataFrame, fraction: float, order: str = "match_id") -> DataFrame:
     """The earliest int(n * fraction) rows, for learning curves."""
-    return chronological_split(rows, order, 1 - fraction)[0]
+    found = order_statistics(rows, order, lambda n: [int(n * fraction + 1e-9)])
+    return rows.filter(_before(order, next(iter(found.values()), None)))

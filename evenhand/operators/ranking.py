@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenhand.workspace import settle
 
@@ -99,11 +100,21 @@ def order_statistics(
     a value shared by any number of rows costs nothing extra.
     """
     values = df.select(F.col(column).alias("x")).filter(F.col("x").isNotNull())
-    low, high, rows = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    x = F.col("x")
+    real = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    # -inf, inf and NaN (in this order last) are counted, and ranked without a search.
+    ends = [F.count_if(x == -math.inf), F.count_if(x == math.inf), F.count_if(F.isnan(x))] if real else [F.lit(0)] * 3
+    finite = (F.abs(x) < math.inf) if real else F.lit(True)
+    low, high, rows, below, above, odd = values.agg(
+        F.min(F.when(finite, x)), F.max(F.when(finite, x)), F.count("x"), *ends).first()
+    values = values.filter(finite)
     wanted = sorted({r for r in (ranks(rows) if callable(ranks) else ranks) if 0 <= r < rows})
-    found: dict[int, float | int] = {}
+    last = rows - above - odd
+    found: dict[int, float | int] = {
+        r: -math.inf if r < below else math.inf if r < last + above else math.nan for r in wanted if not below <= r < last}
+    wanted = [r for r in wanted if r not in found]
     # Open ranges: (low, high, rank of the first row in the range, wanted ranks inside).
-    open_ranges = [(low, high, 0, wanted)] if wanted else []
+    open_ranges = [(low, high, below, wanted)] if wanted else []
     while open_ranges:
         still_open = []
         for lo, hi, start, inside in open_ranges:
@@ -113,11 +124,10 @@ def order_statistics(
                 still_open.append((lo, hi, start, inside))
         if not still_open:
             break
-        x = F.col("x")
         label, slot = F.lit(None).cast("int"), F.lit(None).cast("double")
         for i, (lo, hi, _, _) in enumerate(still_open):
             here = x.between(F.lit(lo), F.lit(hi))
-            share = (x - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
+            share = _share(x, lo, hi, real)
             label = F.when(here, F.lit(i)).otherwise(label)
             slot = F.when(here, F.floor(share * (buckets - 1)).cast("double")).otherwise(slot)
         summary = (
@@ -136,6 +146,16 @@ def order_statistics(
     return found
 
 
+def _share(x: Column, lo, hi, real: bool) -> Column:
+    """Where x lies between lo (0) and hi (1), for limits that are any distance apart."""
+    if not real:  # whole numbers: their difference may need one bit more than they have
+        wide = "decimal(38,0)"
+        return (x.cast(wide) - F.lit(lo).cast(wide)).cast("double") / F.lit(float(hi - lo))
+    if math.isinf(hi - lo):
+        return (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+    return (x - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
+
+
 def exact_quantiles(df: DataFrame, column: str, points: Sequence[float]) -> list[float]:
     """Exact quantiles with linear interpolation between neighbouring ranks."""
     at: list[float] = []
@@ -149,6 +169,6 @@ def exact_quantiles(df: DataFrame, column: str, points: Sequence[float]) -> list
         return [math.nan] * len(points)
     out = []
     for h in at:
-        lo, hi = values[math.floor(h)], values[math.ceil(h)]
-        out.append(lo + (hi - lo) * (h - math.floor(h)))
+        lo, hi, part = values[math.floor(h)], values[math.ceil(h)], h - math.floor(h)
+        out.append(lo if lo == hi or not part else lo * (1 - part) + hi * part if math.isinf(hi - lo) else lo + (hi - lo) * part)
     return out

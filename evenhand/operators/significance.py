@@ -54,22 +54,25 @@ def adjust_false_discovery(
     """Benjamini–Hochberg `q_value` and `significant`, within each family of tests.
 
     Equal p-values have equal q-values, so the ranking runs on distinct ones with their counts:
-    rank = running count, q = the smallest p * m / rank from here on.
+    rank = running count, q = the smallest p * m / rank from here on. Tests without a family name
+    are a family of their own; tests without a p-value get no q-value and do not count.
     """
+    columns = tests.columns
     tests = settle(tests, "tests")
-    sizes = tests.groupBy(*family).agg(F.count(p).alias("_m"))
-    steps = tests.filter(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = with_range(steps, [*family, p], rows_per_range, at_most=tests.count())
-    ranked = running(ranged, p, F.col("_n"), "_rank", family)
-    with_m = ranked.join(sizes, list(family)) if family else ranked.withColumn("_m", sizes.scalar())
+    keyed = tests.withColumn("_family", F.struct(*family) if family else F.struct(F.lit(1).alias("all")))
+    sizes = keyed.groupBy("_family").agg(F.count(p).alias("_m"))
+    steps = keyed.filter(F.col(p).isNotNull()).groupBy("_family", p).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = with_range(steps, ["_family", p], rows_per_range, at_most=tests.count())
+    # Written, so that the second running pass does not plan the first one over again.
+    ranked = settle(running(ranged, p, F.col("_n"), "_rank", ["_family"]).join(sizes, "_family"), "ranked-tests")
     stepped = running(
-        with_m, p, F.col(p) * F.col("_m") / F.col("_rank"), "_q", family, how="min", descending=True
+        ranked, p, F.col(p) * F.col("_m") / F.col("_rank"), "_q", ["_family"], how="min", descending=True
     )
-    q = stepped.select(*family, p, F.least(F.lit(1.0), F.col("_q")).alias("q_value"))
+    q = stepped.select("_family", p, F.least(F.lit(1.0), F.col("_q")).alias("q_value"))
     return (
-        tests.join(q, [*family, p], "left")
+        keyed.join(q, ["_family", p], "left")
         .withColumn("significant", F.col("q_value") <= alpha)
-        .select(*tests.columns, "q_value", "significant")
+        .select(*columns, "q_value", "significant")
     )
 
 
@@ -87,18 +90,15 @@ def flagged_names(tests: DataFrame, entity: str = "hero_id", rate: str = "win_ra
 
 
 def verdict_summary(
-    tests: DataFrame, alpha: float = 0.05, rate: str = "win_rate", entity: str = "hero_id", list_limit: int = 10_000
+    tests: DataFrame, alpha: float = 0.05, rate: str = "win_rate", entity: str = "hero_id", names: bool = True
 ) -> DataFrame:
     """Counts before and after correction, and the flagged names ordered by rate.
 
-    Lists of names are for reading: with more than `list_limit` flagged entities both are null, and
-    `flagged_names` gives them as rows.
+    Lists of names are for reading. For rosters of any size leave them out with `names=False` (both
+    are null then) and take `flagged_names`, which gives them as rows.
     """
-    tests = settle(tests, "verdicts")
-    listed = flagged_names(tests, entity, rate).count() <= list_limit
-
-    def names(which: str) -> Column:
-        if not listed:
+    def listed(which: str) -> Column:
+        if not names:
             return F.lit(None).cast("array<string>")
         chosen = F.collect_list(F.when(F.col("action") == which, F.struct(rate, entity, "name")))
         return F.transform(F.sort_array(chosen), lambda e: e["name"])
@@ -109,8 +109,8 @@ def verdict_summary(
         (F.lit(alpha) * F.count(F.lit(1))).alias("expected_false_positives"),
         F.count_if("significant").alias("significant_after_bh"),
         F.count_if("outside_tolerance").alias("outside_tolerance"),
-        names(OVER).alias("nerf_candidates"),
-        names(UNDER).alias("buff_candidates"),
+        listed(OVER).alias("nerf_candidates"),
+        listed(UNDER).alias("buff_candidates"),
     )
 
 

@@ -40,15 +40,22 @@ def effect_table(
     alpha: float = 0.05,
     power: float = 0.8,
 ) -> DataFrame:
-    """Games per period for each effect, and how many entities of `rates` already have them."""
+    """Games per period for each effect, and how many entities of `rates` already have them.
+
+    Every effect has its row, also if `rates` is empty.
+    """
+    spark = rates.sparkSession
+    listed = spark.createDataFrame([(float(e),) for e in effects], "effect double")
+    needs = with_games_needed(listed, F.lit(0.5), 0.5 + F.col("effect"), alpha, power)
+    needs = needs.select((F.col("effect") * 100).alias("effect_pp"), F.ceil("games_needed").alias("hero_games_per_period"))
     sized = with_games_needed(
         with_effects(rates.select("games"), effects), F.lit(0.5), 0.5 + F.col("effect"), alpha, power
     )
-    needed = F.ceil("games_needed")
-    return (
-        sized.groupBy((F.col("effect") * 100).alias("effect_pp"), needed.alias("hero_games_per_period"))
-        .agg(F.count_if(F.col("games") >= needed).alias("heroes_with_enough"))
+    enough = (
+        sized.groupBy((F.col("effect") * 100).alias("effect_pp"))
+        .agg(F.count_if(F.col("games") >= F.ceil("games_needed")).alias("heroes_with_enough"))
     )
+    return needs.join(enough, "effect_pp", "left").fillna(0, ["heroes_with_enough"])
 
 
 def trials_needed(

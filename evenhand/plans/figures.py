@@ -34,7 +34,9 @@ def power_curve(
     effect = F.lit(low) + F.col("point") * step
     curve = rates.select("games", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     needed = z * z * 0.5 / (effect * effect)
-    return curve.groupBy("point").agg(F.count_if(F.col("games") >= needed).alias("heroes_with_enough")).select(
+    enough = curve.groupBy("point").agg(F.count_if(F.col("games") >= needed).alias("heroes_with_enough"))
+    grid = rates.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))  # also without entities
+    return grid.join(enough, "point", "left").fillna(0, ["heroes_with_enough"]).select(
         "point", (effect * 100).alias("effect_pp"), needed.alias("hero_games"), "heroes_with_enough")
 
 

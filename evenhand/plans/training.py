@@ -193,8 +193,15 @@ def comparison(predictions: DataFrame, base: str = BASE) -> DataFrame:
 
 
 def stratum_report(data: Prepared, c: float = 0.01, stratum: str = "bracket") -> DataFrame:
-    """Accuracy and other metrics of one model per stratum, each split at the common trial id."""
-    strata = [r[0] for r in data.vectors.select(stratum).distinct().orderBy(stratum).collect()]
+    """Accuracy and other metrics of one model per stratum, each split at the common trial id.
+
+    Strata are few (a parameter of the audit). One without training rows of both outcomes or without
+    test rows has no model and no row; `strata_without_data` names it.
+    """
+    lacking = {r[0] for r in strata_without_data(data, stratum).collect()}
+    strata = [r[0] for r in data.vectors.select(stratum).distinct().orderBy(stratum).collect() if r[0] not in lacking]
+    if not strata:
+        return evaluation.metrics(logistic.predict(logistic.fit(data.train_vectors, c), data.test_vectors.limit(0), stratum))
 
     def one(s) -> DataFrame:
         here = F.col(stratum) == s
@@ -205,6 +212,16 @@ def stratum_report(data: Prepared, c: float = 0.01, stratum: str = "bracket") ->
     return evaluation.metrics(_union(parts))
 
 
+def strata_without_data(data: Prepared, stratum: str = "bracket", won: str = "radiant_win") -> DataFrame:
+    """Strata in which no model can be fitted or judged."""
+    trained = data.train_vectors.groupBy(stratum).agg(F.countDistinct(won).alias("outcomes"))
+    tested = data.test_vectors.groupBy(stratum).agg(F.count("*").alias("tests"))
+    every = data.vectors.select(stratum).distinct()
+    same = every.join(trained, every[stratum].eqNullSafe(trained[stratum]), "left").drop(trained[stratum])
+    both = same.join(tested, same[stratum].eqNullSafe(tested[stratum]), "left").drop(tested[stratum])
+    return both.filter((F.coalesce("outcomes", F.lit(0)) < 2) | F.col("tests").isNull()).select(stratum)
+
+
 def learning_curve(data: Prepared, c: float = 0.01, fractions: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Held-out metrics after training on growing earliest parts of the training trials."""
     def one(fraction: float) -> DataFrame:

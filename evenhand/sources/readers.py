@@ -37,12 +37,19 @@ def read_latest_snapshot(
     schema: T.StructType = schemas.ENTITY_SNAPSHOT,
     date_pattern: str = r"(\d{4}-\d{2}-\d{2})",
 ) -> DataFrame:
-    """Rows of the files with the latest date in their path, with that date as `snapshot_date`."""
-    dated = read_csv(spark, path_glob, schema).withColumn(
-        "snapshot_date", F.regexp_extract(F.col("_metadata.file_path"), date_pattern, 1)
-    )
-    latest = dated.agg(F.max("snapshot_date")).scalar()
-    return dated.filter(F.col("snapshot_date") == latest)
+    """Rows of the files with the latest date, with that date as `snapshot_date`.
+
+    A file's date is the last one in its path, so dated parent folders play no part. Only the chosen
+    files are read.
+    """
+    def dated(path):
+        return F.element_at(F.regexp_extract_all(path, F.lit(date_pattern), F.lit(1)), -1)
+
+    files = spark.read.format("binaryFile").load(path_glob).select("path").withColumn("date", F.try_element_at(
+        F.regexp_extract_all("path", F.lit(date_pattern), F.lit(1)), F.lit(-1))).filter("date is not null")
+    latest = files.agg(F.max("date")).scalar()
+    paths = [r["path"] for r in files.filter(F.col("date") == latest).collect()]  # the files of one snapshot
+    return read_csv(spark, paths or path_glob, schema).withColumn("snapshot_date", dated(F.col("_metadata.file_path")))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

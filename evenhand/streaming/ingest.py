@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,55 +45,67 @@ def newest(trials: DataFrame, target: int, before: int | None = None, trial: str
     return pool.filter(F.col(trial) >= lowest)
 
 
-def ingest(
-    stream: DataFrame, table: str, checkpoint: str, lookback_days: int | None = 7
-) -> StreamingQuery:
+def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Append new valid trials to a Parquet table, each trial id once; stops when caught up.
 
     Within a batch copies are removed by `first_per_trial`, which keeps one row per task before its
-    shuffle, so a much-copied trial is no hot key. Against earlier batches new ids are compared with
-    stored ones whose start day is within `lookback_days` of the batch (None compares with all):
-    a copy with a start time further off is taken as new.
-    A batch owns the folder `batch=<id>`, so a repeated batch replaces its own rows only.
+    shuffle, so a much-copied trial is no hot key. Every batch is compared with all stored rows whose
+    id lies between its smallest and largest: copies share the id, so none is missed, whatever their
+    start time, and the files, laid out by id, are pruned by their statistics. A batch owns the folder
+    `source=<streaming query>/batch=<id>`, so neither a repeated batch nor a new checkpoint replaces
+    rows of others; a batch that was written whole is not written again.
     """
+    spark = stream.sparkSession
+    source: Future = Future()  # known once the query has started
+    spark.createDataFrame([], STORED).write.mode("append").partitionBy("source", "batch").parquet(table)
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{table}/source={source.result()}/batch={batch_id}"
+        if _written(spark, folder):
+            return
         unique = first_per_trial(accept(batch)).persist()
-        fresh = unique
-        if batch_id > 0:
-            stored = stored_trials(batch.sparkSession, table).filter(F.col("batch") < batch_id)
-            if lookback_days is not None:
-                first, last = unique.agg(F.min("day"), F.max("day")).first()
-                stored = stored.filter(
-                    F.col("day").between(F.date_sub(F.lit(first), lookback_days), F.date_add(F.lit(last), lookback_days)))
-            fresh = unique.join(stored.select("match_id"), "match_id", "left_anti")
-        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{table}/batch={batch_id}")
+        first, last = unique.agg(F.min("match_id"), F.max("match_id")).first()
+        own = (F.col("source") == source.result()) & (F.col("batch") == batch_id)
+        stored = stored_trials(batch.sparkSession, table).filter(F.col("match_id").between(first, last) & ~own)
+        fresh = unique.join(stored.select("match_id"), "match_id", "left_anti")
+        fresh.repartitionByRange("match_id").sortWithinPartitions("match_id").write.mode("overwrite").parquet(folder)
         unique.unpersist()
 
-    return (
+    query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+    source.set_result(query.id)
+    return query
 
 
 STORED = (
     "match_id long, start_time long, duration int, lobby_type int, game_mode int, avg_rank_tier int, "
     "radiant_win int, radiant_team array<int>, dire_team array<int>, started_at timestamp, bracket long, "
-    "batch int, day date"
+    "day date, source string, batch int"
 )
 
 
+def _written(spark: SparkSession, folder: str) -> bool:
+    """Whether Spark's writer has finished this folder."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def stored_trials(spark: SparkSession, table: str) -> DataFrame:
-    """The table written by `ingest`, partitioned by batch and day."""
+    """The table written by `ingest`, partitioned by streaming query and batch."""
     return spark.read.schema(STORED).parquet(table)
 
 
-def unique_within(stream: DataFrame, delay: str = "7 days", trial: str = "match_id", time: str = "started_at") -> DataFrame:
-    """Stream-to-stream alternative: drop copies that arrive within the watermark delay.
+def unique_within(stream: DataFrame, delay: str = "7 days", trial: str = "match_id") -> DataFrame:
+    """Stream-to-stream alternative: drop copies that arrive within a delay of each other.
 
-    State holds the ids of that delay only. Copies later than it come through again, and all copies
-    of one id meet in one task; use `ingest` where an id may be copied very often.
+    The watermark runs on the time of arrival, so no first arrival is ever late. State holds the ids
+    of that delay only. A copy that arrives later comes through again, and all copies of one id meet
+    in one task; use `ingest` where an id may be copied very often.
     """
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([trial])
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark([trial]).drop("_arrived")
 
 
 def running_rates(
@@ -100,8 +114,9 @@ def running_rates(
     """Entity rates, intervals and verdicts over all trials ingested so far.
 
     Counts combine map-side and the state is one row per entity. Every batch writes the whole
-    small table to its own folder `batch=<id>`. Run it when `ingest` has finished: files of a batch
-    that is later repeated would be counted twice.
+    small table to its own folder `batch=<id>`. A finished batch of `ingest` is never written again,
+    so its files count once; files of an `ingest` that broke off while it moved them into place are
+    replaced when it goes on, so start this after `ingest` has caught up.
     """
     trials = in_mode(spark.readStream.schema(STORED).parquet(table), mode)
     counts = count_outcomes(entity_facts(trials), ["hero_id"])

@@ -160,3 +160,47 @@ def test_line_up_status(spark, index):
     got = {r.match_id: r for r in scoring.score_line_ups(df, weights, 0.2).collect()}
     assert [got[i].status for i in range(1, 6)] == ["ok", "incomplete", "duplicate", "incomplete", "incomplete"]
     assert got[1].p == pytest.approx(1 / (1 + np.exp(-0.2))) and got[3].p is None
+
+
+@pytest.mark.parametrize("max_id", [encoding.MAX_DENSE_ID, 0])
+def test_lookups_agree_on_odd_ids_and_repeated_trials(spark, max_id):
+    from evenhand.models import scoring
+    teams = [(1, [1, 2, 2**32 + 5], [3]), (1, [1, 2, 2**32 + 5], [3]), (1, [2], [1])]
+    rows = spark.createDataFrame(teams, "match_id long, radiant_team array<bigint>, dire_team array<bigint>")
+    weights = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 0.25)], "hero_id int, weight double")
+    scored = scoring.with_side_difference(rows, weights, max_id=max_id).collect()
+    assert sorted(r["score"] for r in scored) == [0.5, 1.25, 1.25]
+    index = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "hero_id int, col int")
+    terms = [[(t["col"], t["val"]) for t in r["terms"]] for r in encoding.encode(rows, index, carry=(), max_id=max_id).collect()]
+    assert sorted(terms) == [[(0, -1.0), (1, 1.0)], [(0, 1.0), (1, 1.0), (2, -1.0)], [(0, 1.0), (1, 1.0), (2, -1.0)]]
+
+
+def test_row_fractions_are_whole(spark):
+    from evenhand.models import folds
+    df = spark.range(100).withColumnRenamed("id", "match_id")
+    assert [folds.with_row_fraction(df, f).count() for f in (0.1, 0.29, 0.5, 1.0)] == [10, 29, 50, 100]
+
+
+def test_families_without_a_name(spark):
+    from evenhand.operators.significance import adjust_false_discovery
+    rows = [(None, 0.01), (None, 0.04), ("a", 0.01), ("a", None)]
+    got = adjust_false_discovery(spark.createDataFrame(rows, "f string, p_value double"), family=["f"]).collect()
+    assert sorted((r["f"] or "", r["p_value"] or 9, r["q_value"]) for r in got) == [("", 0.01, 0.02), ("", 0.04, 0.04), ("a", 0.01, 0.01), ("a", 9, None)]
+
+
+def test_effects_without_entities(spark):
+    from evenhand.operators.sizing import effect_table
+    from evenhand.plans.figures import power_curve
+    none = spark.createDataFrame([], "games long")
+    assert [r["heroes_with_enough"] for r in effect_table(none).collect()] == [0] * 5
+    assert power_curve(none, points=7).count() == 7
+
+
+def test_latest_snapshot_is_dated_by_its_file(spark, tmp_path):
+    from evenhand.sources.readers import read_latest_snapshot
+    for day in ("2026-07-01", "2026-08-01"):
+        folder = tmp_path / "run_2027-01-01"
+        folder.mkdir(exist_ok=True)
+        (folder / f"live_{day}.csv").write_text("hero_id,name,picks,wins,win_rate\n1,a,2,1,0.5\n")
+    rows = read_latest_snapshot(spark, f"{tmp_path}/*/*.csv").collect()
+    assert [r["snapshot_date"] for r in rows] == ["2026-08-01"]

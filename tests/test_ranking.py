@@ -104,3 +104,19 @@ def test_constant_predictor(spark):
 def test_one_class_has_no_auc(spark):
     df = spark.createDataFrame([("c", 0.5, 1), ("c", 0.6, 1)], "model string, p double, y int")
     assert metrics(df).first().roc_auc is None
+
+
+@pytest.mark.parametrize("values", [
+    [float("inf"), 1.0, float("-inf"), float("nan"), 2.0], [float("nan")], [1.7e308, -1.7e308, 0.0, 5.0], [5e-324, 0.0, 1.0],
+])
+def test_order_statistics_of_any_doubles(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = rk.order_statistics(df, "x", range(len(values)))
+    want = sorted(values, key=lambda v: (v != v, v))
+    assert [repr(got[k]) for k in range(len(values))] == [repr(v) for v in want]
+
+
+def test_order_statistics_of_far_apart_longs(spark):
+    values = [-(2 ** 63), 2 ** 63 - 1, 2 ** 62, 2 ** 62 + 1, 0]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    assert rk.order_statistics(df, "x", range(5)) == dict(enumerate(sorted(values)))

@@ -42,6 +42,18 @@ def test_stream_equals_batch(spark, api):
     assert now.exceptAll(again).count() == again.exceptAll(now).count() == 0
 
 
+def test_new_checkpoints_lose_and_repeat_nothing(spark, api):
+    table = fresh_path(spark, "table")
+    some = api.filter("match_id < 400")
+    deliveries = [some.filter("match_id % 2 = 0"), some, some.withColumn("start_time", F.lit(None).cast("long"))]
+    for df in deliveries:
+        landing = fresh_path(spark, "landing")
+        df.coalesce(1).write.json(f"{landing}/1")
+        run(spark, landing, table, fresh_path(spark, "progress"))
+    ids = sorted(r.match_id for r in st.stored_trials(spark, table).select("match_id").collect())
+    assert ids == sorted(r.match_id for r in tr.valid_trials(some).select("match_id").collect())
+
+
 def test_newest(spark):
     df = spark.range(100).withColumnRenamed("id", "match_id")
     assert sorted(r.match_id for r in st.newest(df, 5, before=50).collect()) == [45, 46, 47, 48, 49]
