@@ -120,7 +120,8 @@ def _ones_before(values: np.ndarray):
 
 
 def _prefix(depth: int) -> Column:
-    return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+    # The root's prefix is computed, too: a constant would turn the joins on it into products.
+    return F.shiftrightunsigned("fp", 64 - depth) if depth else F.col("fp").bitwiseAND(F.lit(0).cast("long"))
 
 
 def node_pairs(fingerprints: DataFrame, budget: int, leaf_rows: int) -> list[tuple[int, DataFrame]]:
