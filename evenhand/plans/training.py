@@ -204,7 +204,7 @@ def stratum_report(data: Prepared, c: float = 0.01, stratum: str = "bracket") ->
         return evaluation.metrics(logistic.predict(logistic.fit(data.train_vectors, c), data.test_vectors.limit(0), stratum))
 
     def one(s) -> DataFrame:
-        here = F.col(stratum) == s
+        here = F.col(stratum).eqNullSafe(F.lit(s))
         model = logistic.fit(data.train_vectors.filter(here), c)
         return logistic.predict(model, data.test_vectors.filter(here), f"{stratum}_{s}")
 
@@ -214,12 +214,11 @@ def stratum_report(data: Prepared, c: float = 0.01, stratum: str = "bracket") ->
 
 def strata_without_data(data: Prepared, stratum: str = "bracket", won: str = "radiant_win") -> DataFrame:
     """Strata in which no model can be fitted or judged."""
-    trained = data.train_vectors.groupBy(stratum).agg(F.countDistinct(won).alias("outcomes"))
-    tested = data.test_vectors.groupBy(stratum).agg(F.count("*").alias("tests"))
-    every = data.vectors.select(stratum).distinct()
-    same = every.join(trained, every[stratum].eqNullSafe(trained[stratum]), "left").drop(trained[stratum])
-    both = same.join(tested, same[stratum].eqNullSafe(tested[stratum]), "left").drop(tested[stratum])
-    return both.filter((F.coalesce("outcomes", F.lit(0)) < 2) | F.col("tests").isNull()).select(stratum)
+    part = data.train_vectors.select(stratum, won, F.lit(True).alias("_train")).unionByName(
+        data.test_vectors.select(stratum, won, F.lit(False).alias("_train")))
+    seen = part.groupBy(stratum).agg(
+        F.countDistinct(F.when(F.col("_train"), F.col(won))).alias("outcomes"), F.count_if(~F.col("_train")).alias("tests"))
+    return seen.filter("outcomes < 2 OR tests = 0").select(stratum)
 
 
 def learning_curve(data: Prepared, c: float = 0.01, fractions: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
