@@ -24,7 +24,7 @@ SAMPLE = 2_500  # training documents of each class
 SAMPLE_WINDOWS = 64  # windows of each training document that reach the driver
 BASE_BYTES, OWN_BYTES, LEAD_BYTES = 100_000, 16_384, 200
 GRAMS = (6, 8)  # lengths of the byte runs that tell texts apart
-MIN_SHARE, MIN_LIFT = 0.01, 15.0
+MIN_SHARE, MIN_LIFT = 0.02, 15.0
 SAVED = 3  # bytes by which a window counts as toxic
 
 
