@@ -404,7 +404,7 @@ def k5(spark, sf):
 
 @check("m4_pairwise_logistic")
 def m4(spark, sf):
-    return training.pairwise_report(prepared(spark, sf), grid=(0.001, 0.003), k=2)
+    return training.pairwise_report(prepared(spark, sf))
 
 
 @check("m6_k7_reduced_pairwise")
@@ -445,4 +445,4 @@ def m14(spark, sf):
 
 @check("m15_learning_curve")
 def m15(spark, sf):
-    return training.learning_curve(prepared(spark, sf), c=0.01, fractions=(0.25, 0.5, 1.0))
+    return training.learning_curve(prepared(spark, sf), c=0.01)
