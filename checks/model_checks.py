@@ -17,7 +17,7 @@ ORDERED = "SELECT *, row_number() OVER (ORDER BY match_id) - 1 AS pos FROM trial
 SIGNED = """SELECT match_id, col, CASE side WHEN 'radiant' THEN 1 ELSE -1 END AS val FROM facts JOIN ids USING (hero_id)"""
 # Pairs of a line-up by a self-join on the trial, an independent route to the array form.
 PAIRS = f"""signed AS ({SIGNED}), n AS (SELECT COUNT(*) AS n FROM ids),
-    paired AS (SELECT a.match_id, a.val, a.val = b.val AS together, a.col AS i, b.col AS j,
+    paired AS MATERIALIZED (SELECT a.match_id, a.val, a.val = b.val AS together, a.col AS i, b.col AS j,
         n + CASE WHEN a.val = b.val THEN 0 ELSE n * (n - 1) // 2 END + a.col * (2 * n - a.col - 1) // 2 + b.col - a.col - 1 AS col
         FROM signed a JOIN signed b ON a.match_id = b.match_id AND a.col < b.col, n)"""
 
