@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from evenhand.llm.registry import query, table, text_of
 from evenhand.workspace import settle
 
-ROWS_PER_BLOCK = 50_000
+ROWS_PER_BLOCK, BYTES_PER_BLOCK = 50_000, 64 << 20  # a block of an old shard holds a fraction of these
 
 
 def move_cost(old: int, new: int) -> int:
@@ -86,7 +86,7 @@ def reshard(
     hash of the key; their byte ranges are cut by the planned transfers, and a row goes where its
     first byte lies, so a shard misses its capacity by less than one row per transfer. Slots count
     from 0 in each shard without gaps. Only sums per shard reach the driver; running sums are taken
-    over blocks, and within a block of about ROWS_PER_BLOCK rows. A null key hashes like any other;
+    over blocks, and within a block of at most about ROWS_PER_BLOCK rows and BYTES_PER_BLOCK bytes. A null key hashes like any other;
     rows equal in key and size are interchangeable. `affected` lists new shards whose rows change.
     An empty table gives no rows. Columns named old_shard, shard or slot are replaced.
     """
@@ -100,7 +100,7 @@ def reshard(
         capacities = equal_capacities(total_bytes, capacities)
     transfers = min_cost_transfers({i: b for i, (b, _) in sorted(totals.items())}, capacities, cost)
 
-    blocks = max(1, -(-total_rows // ROWS_PER_BLOCK))
+    blocks = max(1, -(-total_rows // ROWS_PER_BLOCK), -(-total_bytes // BYTES_PER_BLOCK))
     block = F.pmod("at.hash", F.lit(blocks))
     starts = W.partitionBy("old_shard").orderBy("block")
     sums = settle(
