@@ -271,9 +271,14 @@ def remove_repeats(
         .mapInArrow(lambda batches: _count(batches, window), "k1 long, k2 long, from_word int, to_word int")
     )
     if not recurring.filter(is_hot).isEmpty():
-        loose = packed(is_hot).mapInArrow(lambda batches: _windows(batches, window), "k1 long, k2 long, from_word int, words binary")
-        # Written, so that the join meets plain shuffles on both sides and splits a window of very many places.
-        again = settle(loose.groupBy("words").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-hot-windows")
+        strings = settle(packed(is_hot), "hot-super-kmers")
+        loose = strings.mapInArrow(lambda batches: _windows(batches, window), "k1 long, k2 long, from_word int, words binary")
+        loose = loose.withColumn("hash", F.xxhash64("words"))
+        # Windows that recur have recurring hashes: only those travel as words, to be counted exactly.
+        # Both tables are written, so that the joins meet plain shuffles and split a hot window.
+        suspect = settle(loose.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"), "suspect-windows")
+        loose = loose.join(suspect, "hash")
+        again = settle(loose.groupBy("words").agg(F.count("*").alias("times")).filter("times > 1").select("words"), "repeated-hot-windows")
         spans = spans.unionByName(loose.join(again, "words").select("k1", "k2", "from_word", (F.col("from_word") + window).alias("to_word")))
     marks = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from_word", "to_word")).alias("spans"))
     kind = dict(docs.dtypes)[key]
