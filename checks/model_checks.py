@@ -409,33 +409,33 @@ def m4(spark, sf):
 
 @check("m6_k7_reduced_pairwise")
 def m6(spark, sf):
-    return training.reduced_pairwise_report(prepared(spark, sf), thresholds=(10, 30), grid=(0.003, 0.01), k=2)
+    return training.reduced_pairwise_report(prepared(spark, sf))
 
 
 @check("m5_gradient_boosting")
 def m5(spark, sf):
     data = prepared(spark, sf)
-    model = boosting.fit(data.train_vectors, max_iter=20)
+    model = boosting.fit(data.train_vectors)
     return evaluation.metrics(logistic.predict(model, data.test_vectors, "gradient_boosting"))
 
 
 @check("m7_low_rank")
 def m7(spark, sf):
-    return training.low_rank_report(prepared(spark, sf), ranks=(2, 4), steps=15)
+    return training.low_rank_report(prepared(spark, sf))
 
 
 @check("m7_low_rank_antisymmetry", f"SELECT {N_TRAIN} AS n, true AS antisymmetric")
 def m7_error(spark, sf):
     data = prepared(spark, sf)
     sides = lowrank.with_sides(data.train)
-    params = lowrank.fit(sides, data.n, rank=2, steps=3)
+    params = lowrank.fit(sides, data.n)
     error = lowrank.antisymmetry_error(params, sides)
     return error.select("n", (F.col("max_error") < 1e-9).alias("antisymmetric"))
 
 
 @check("m13_model_comparison")
 def m13(spark, sf):
-    return training.comparison(training.all_predictions(prepared(spark, sf), boosting_iterations=10, pairwise_c=0.003))
+    return training.comparison(training.all_predictions(prepared(spark, sf)))
 
 
 @check("m14_models_by_stratum")
