@@ -11,5 +11,5 @@ def test_same_rows_as_duckdb(name, spark, sf):
     assert difference(QUERIES[name](spark, sf), duck(sf).sql(ORACLES[name])) is None
 
 
-def test_ten_queries():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
