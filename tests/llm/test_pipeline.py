@@ -50,7 +50,7 @@ def test_stages(spark, corpus):
     left = stages.drop_near_copies(spark, docs, corpus)
     assert left.columns == docs.columns
     known = sorted({(r["doc_id"], r["text"] or "") for r in rows if r["doc_id"] is not None})
-    groups = grouped([bits_by_brute_force(t) for _, t in known], stages.NEAR_BITS)
+    groups = grouped([bits_by_brute_force(t) for _, t in known], 2)
     want = sorted(known[g][0] for g in set(groups))
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == want
     assert left.filter("doc_id is null").count() == 1
@@ -68,6 +68,18 @@ def test_stages(spark, corpus):
     assert left.count() == len(rows) and set(left.columns) == {"doc_id", "text", "lang", "source", "old_shard", "shard", "slot"}
 
 
+def test_rows_of_one_identifier_are_told_apart(spark):
+    """Two texts under one identifier: a copy of one takes only that one along, and both may stay."""
+    rnd = random.Random(3)
+    one, other, third = (" ".join(f"{c}{rnd.randrange(999)}" for _ in range(40)) for c in "abc")
+    rows = [(1, one), (2, one.upper()), (2, other), (3, other + " "), (4, third), (4, one + "\n"), (5, third), (6, "lone"), (6, "alone"), (6, "lone"), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("k1", "k2", "row", "fp", "row_key", "component_id")})
+    left = stages.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted((tuple(r[:2]) for r in left.collect()), key=str)
+    assert got == sorted([(1, one), (2, other), (4, third), (6, "lone"), (6, "alone"), (None, one)], key=str)
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     ids = [r["doc_id"] for r in out.collect()]
