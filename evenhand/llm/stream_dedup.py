@@ -12,6 +12,13 @@ from evenhand.workspace import fresh_path, settle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: For the time of a start. Without preallocation a store takes the disk of what it holds, not 4 MB each;
+#: a stream that goes on needs its last versions only.
+STATE_SETTINGS = {
+    PROVIDER: ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 
 
 def sha256_hex(text: Column) -> Column:
@@ -45,22 +52,25 @@ def run_stream(
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         running = (
             states.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         )
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     running.awaitTermination()
     changes = spark.read.schema(states.schema).parquet(f"{folder}/changes")
     return changes.groupBy("digest").agg(F.max_by("keeper", "group_size").alias("keeper"), F.max("group_size").alias("group_size"))
 
 
-
-
 def decide(spark: SparkSession, source: str, states: DataFrame, key: str = "doc_id", digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """One row per row of `source`: digest, place, keeper, group_size.
 
