@@ -9,7 +9,7 @@ from evenhand.workspace import fresh_path
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
-    ("near copies", stages.drop_near_copies),
+    ("SimHash near-dedup", stages.drop_near_copies),
     ("decontamination", stages.drop_contaminated),
     ("mixing", stages.mix_sources),
     ("sharding", stages.put_in_shards),
