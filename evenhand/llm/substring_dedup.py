@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 WINDOW = 35
 MMER = 8
-HOT_OCCURRENCES = 50_000  # beyond this, a minimiser's windows are counted by Spark, not in one bucket
+HOT_OCCURRENCES = 50_000  # beyond this, a minimiser's strings are split by a longer one
 CHUNK_WORDS = 1 << 18
 CACHED_WORDS = 1 << 19
 
@@ -121,27 +121,51 @@ def _find(batches: Iterator[pa.RecordBatch], window: int, mmer: int) -> Iterator
             yield emit(k1, k2, words, sizes)
 
 
-PACKED = "k1 long, k2 long, minimiser long, hot boolean, start int, packed binary"
+PACKED = "k1 long, k2 long, minimiser long, start int, packed binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _packed_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED as batches of bounded bytes."""
     names = [f.split()[0] for f in PACKED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-    for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        for a, b, text, runs in zip(*[batch.column(c) for c in ("k1", "k2", "passage_text", "runs")]):
-            words, key = text.as_py().split(), (a.as_py(), b.as_py())
-            for run in runs.as_py():
-                start = run["start"]
-                packed = b" ".join(words[start:start + run["windows"] + window - 1])
-                rows.append((*key, run["minimiser"], run["hot"], start, packed))
-                held += len(packed)
-            if held > 1 << 24:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 64
+        if size > 1 << 24:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for a, b, text, runs in zip(*[batch.column(c) for c in ("k1", "k2", "passage_text", "runs")]):
+                words, key = text.as_py().split(), (a.as_py(), b.as_py())
+                for run in runs.as_py():
+                    start = run["start"]
+                    yield *key, run["minimiser"], start, b" ".join(words[start:start + run["windows"] + window - 1])
+
+    return _packed_batches(rows())
+
+
+def _split_finer(batches: Iterator[pa.RecordBatch], window: int, mmer: int) -> Iterator[pa.RecordBatch]:
+    """Packed strings cut into super-k-mers of longer minimisers."""
+    known = _WordHashes()
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for k1, k2, start, packed in zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "start", "packed")]):
+                words = packed.split()
+                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                low, _, first, count = super_kmers(hashes, np.array([len(words)]), window, mmer)
+                for m, f, n in zip(low.view(np.int64).tolist(), first.tolist(), count.tolist()):
+                    yield k1, k2, m, start + f, b" ".join(words[f:f + n + window - 1])
+
+    return _packed_batches(rows())
 
 
 def repeated_windows(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,13 +230,24 @@ def _count(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Every window as a row, a batch of bounded bytes at a time."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["k1", "k2", "from_word", "words"])
+
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
         for k1, k2, start, packed in zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "start", "packed")]):
             words = packed.split()
-            n = len(words) - window + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k1] * n), pa.array([k2] * n), pa.array(range(start, start + n), pa.int32()),
-                 pa.array([b" ".join(words[i:i + window]) for i in range(n)], pa.binary())], names=["k1", "k2", "from_word", "words"])
+            for i in range(len(words) - window + 1):
+                held.append((k1, k2, start + i, b" ".join(words[i:i + window])))
+                size += len(held[-1][3]) + 64
+                if size > 1 << 24:
+                    yield batch_of(held)
+                    held, size = [], 0
+    if held:
+        yield batch_of(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +279,14 @@ def remove_repeats(
     Words are runs outside ASCII white space, unchanged. Every word goes that is covered by a window
     of `window` words whose sequence also starts anywhere else, in another row or the same one.
 
-    Three steps. Minimisers are counted first: a window can only recur if its minimiser does, so only
-    super-k-mers of recurring minimisers travel on, as packed strings. Each bucket of whole minimisers
-    sorts its windows exactly. A minimiser with over `hot` occurrences has no bucket: its windows are
-    counted as rows, combined before the shuffle. Intervals return to their texts, which are dealt by
-    key once for both steps. Equal rows (key and text) are copies of each other. Null text counts as
-    empty; shorter texts than a window keep all words. An empty table gives no rows; other columns
-    play no part.
+    Minimisers are counted first: a window can only recur if its minimiser does, so only super-k-mers
+    of recurring minimisers travel on, as packed strings. Each bucket of whole minimisers sorts its
+    windows exactly. Where a minimiser has over `hot` occurrences, its strings are split again by a
+    longer one and bucketed by that; equal windows share both. What is hot even then consists of
+    windows that are much alike: they are counted as rows, combined before the shuffle. Intervals
+    return to their texts, which are dealt by key once for all steps. Equal rows (key and text) are
+    copies of each other. Null text counts as empty; shorter texts than a window keep all words. An
+    empty table gives no rows; other columns play no part.
     """
     prepared = docs.select(
         key, text_of(text).cast("binary").alias("passage_text"),
@@ -258,17 +294,31 @@ def remove_repeats(
     runs = settle(
         prepared.select("k1", "k2", "passage_text")
         .mapInArrow(lambda batches: _find(batches, window, mmer), "k1 long, k2 long, minimiser long, start int, windows int"), "super-kmers")
-    recurring = settle(runs.groupBy("minimiser").agg(F.count("*").alias("times")).filter("times > 1"), "recurring-minimisers")
-    listed = runs.join(recurring, "minimiser").groupBy("k1", "k2").agg(
-        F.collect_set(F.struct("start", "windows", "minimiser", (F.col("times") > hot).alias("hot"))).alias("runs"))
-    packed = prepared.join(listed, ["k1", "k2"]).mapInArrow(lambda batches: _pack(batches, window), PACKED)
+
+    def recurring(places: DataFrame, label: str) -> DataFrame:
+        return settle(places.groupBy("minimiser").agg(F.count("*").alias("times")).filter("times > 1"), label)
+
+    def packed(minimisers: DataFrame) -> DataFrame:
+        listed = runs.join(minimisers.select("minimiser"), "minimiser").groupBy("k1", "k2").agg(
+            F.collect_set(F.struct("start", "windows", "minimiser")).alias("runs"))
+        return prepared.join(listed, ["k1", "k2"]).mapInArrow(lambda batches: _pack(batches, window), PACKED)
+
+    is_hot = F.col("times") > hot
+    counted = recurring(runs, "recurring-minimisers")
+    bucketed, loose = packed(counted.filter(~is_hot)), None
+    if not counted.filter(is_hot).isEmpty():
+        finer_mmer = (mmer + window) // 2
+        finer = settle(packed(counted.filter(is_hot)).mapInArrow(lambda batches: _split_finer(batches, window, finer_mmer), PACKED), "finer-super-kmers")
+        counted = recurring(finer, "recurring-finer-minimisers")
+        bucketed = bucketed.unionByName(finer.join(counted.filter(~is_hot).select("minimiser"), "minimiser"))
+        if not counted.filter(is_hot).isEmpty():
+            loose = finer.join(counted.filter(is_hot).select("minimiser"), "minimiser").mapInArrow(
+                lambda batches: _windows(batches, window), "k1 long, k2 long, from_word int, words binary")
     spans = (
-        packed.filter("not hot").repartition("minimiser").sortWithinPartitions("minimiser")
-        .select("minimiser", "k1", "k2", "start", "packed")
+        bucketed.repartition("minimiser").sortWithinPartitions("minimiser").select("minimiser", "k1", "k2", "start", "packed")
         .mapInArrow(lambda batches: _count(batches, window), "k1 long, k2 long, from_word int, to_word int")
     )
-    if not recurring.filter(F.col("times") > hot).isEmpty():
-        loose = packed.filter("hot").mapInArrow(lambda batches: _windows(batches, window), "k1 long, k2 long, from_word int, words binary")
+    if loose is not None:
         again = loose.groupBy("words").agg(F.count("*").alias("times")).filter("times > 1")
         spans = spans.unionByName(loose.join(again, "words").select("k1", "k2", "from_word", (F.col("from_word") + window).alias("to_word")))
     marks = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from_word", "to_word")).alias("spans"))
