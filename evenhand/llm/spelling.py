@@ -30,8 +30,8 @@ DIMS = 26 + 64  # a-z and U+00C0 to U+00FF
 SAMPLE = 1 << 16  # words that shape the upper trees, at most; every word is indexed by them
 SAMPLED_CHARS = 64  # longer words share one leaf for each length
 LEAF_WORDS, LEAF_CHARS = 1 << 14, 1 << 19  # of one cell's points and of its queries
-LOCAL_LEAF = 48
-FRONTIER = 1 << 19  # pairs of node and query, or of words, held at once
+LOCAL_LEAF = 64
+FRONTIER = 1 << 17  # pairs of node and query, or of words, held at once
 FAR = 1 << 30
 
 
@@ -48,15 +48,11 @@ def code_points(words: list[str], length: int) -> np.ndarray:
 
 
 def sketches(counts: np.ndarray) -> np.ndarray:
-    """128 bits: the k-th copy of a letter flips one of them, so near vectors differ in few."""
-    out = np.zeros((len(counts), 2), np.uint64)
+    """64 bits: every copy of a letter flips one of them, so near vectors differ in few."""
+    out = np.zeros(len(counts), np.uint64)
     for k in range(min(8, int(counts.max(initial=0)))):
-        place = (np.arange(DIMS) * 5 + k * 53) % 128
-        held = counts > k
-        for half in (0, 1):
-            mine = np.flatnonzero(place // 64 == half)
-            bits = np.where(held[:, mine], np.uint64(1) << (place[mine] % 64).astype(np.uint64), np.uint64(0))
-            out[:, half] ^= np.bitwise_xor.reduce(bits, axis=1)
+        bit = np.uint64(1) << ((np.arange(DIMS) + 26 * k) % 64).astype(np.uint64)
+        out ^= np.bitwise_xor.reduce(np.where(counts > k, bit, np.uint64(0)), axis=1)
     return out
 
 
@@ -187,7 +183,7 @@ def search(points: list[str], point_n: np.ndarray, queries: list[str], leaf: int
     codes = code_points(points, length)
     counts = letter_counts(codes)
     tree = build_tree(counts, leaf)
-    marks = sketches(counts)
+    marks = sketches(counts)[tree.order]
     found, best = np.zeros(len(queries), np.int64), np.full(len(queries), len(points))
     by_length = defaultdict(list)
     for i, word in enumerate(queries):
@@ -207,16 +203,14 @@ def search(points: list[str], point_n: np.ndarray, queries: list[str], leaf: int
             start = 0
             while start < len(row):  # some leaves at a time
                 stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + FRONTIER, "right")))
-                n = sizes[start:stop]
-                which = np.repeat(np.arange(start, stop), n)
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p, q = tree.order[tree.low[node[which]] + offset], row[which]
-                bits = np.bitwise_count(marks[p, 0] ^ q_marks[q, 0]) + np.bitwise_count(marks[p, 1] ^ q_marks[q, 1])
-                close = np.flatnonzero(bits <= more + less)
+                n, low = sizes[start:stop], tree.low[node[start:stop]]
+                place = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)  # in the order of the leaves
+                close = np.flatnonzero(np.bitwise_count(marks[place] ^ np.repeat(q_marks[row[start:stop]], n)) <= more + less)
+                p, q = tree.order[place[close]], row[start + np.searchsorted(np.cumsum(n), close, "right")]
                 for at in range(0, len(close), step):
-                    i = close[at:at + step]
-                    near = one_edit(codes[p[i]], q_codes[q[i]])
-                    pairs_p, pairs_q = p[i][near], chosen[q[i][near]]
+                    some_p, some_q = p[at:at + step], q[at:at + step]
+                    near = one_edit(codes[some_p], q_codes[some_q])
+                    pairs_p, pairs_q = some_p[near], chosen[some_q[near]]
                     np.add.at(found, pairs_q, 1)
                     np.minimum.at(best, pairs_q, rank[pairs_p])
                 start = stop
@@ -248,7 +242,8 @@ def upper_trees(words: DataFrame, total: int, leaf_words: int) -> dict[int, Tree
     """A tree per length whose leaves hold about `leaf_words` words, shaped by at most SAMPLE of them."""
     if total <= leaf_words:
         return {}
-    some = words.select("word").filter(F.length("word") <= SAMPLED_CHARS).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()
+    part = F.pmod(F.xxhash64("word"), F.lit(max(1, 2 * total // SAMPLE))) == 0  # half of SAMPLE or less, as a rule
+    some = words.select("word").filter(part & (F.length("word") <= SAMPLED_CHARS)).limit(SAMPLE).collect()
     by_length = defaultdict(list)
     for r in some:
         by_length[len(r["word"])].append(r["word"])
