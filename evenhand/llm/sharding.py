@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evenhand.llm.registry import query, table, text_of
-from evenhand.workspace import settle
+from evenhand.workspace import fresh_path, settle
 
 ROWS_PER_BLOCK, BYTES_PER_BLOCK = 50_000, 64 << 20  # a block of an old shard holds a fraction of these
 
@@ -69,30 +69,38 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 
 @dataclass
 class Resharding:
-    """`rows`: the input with `old_shard`, `shard` and `slot`; `transfers`: bytes planned per pair of shards."""
+    """What `reshard` found.
+
+    `rows`: the input with `old_shard`, `old_slot`, `shard` and `slot`; `transfers`: bytes planned per
+    pair of shards; `affected`: shards that keep or get rows and whose rows change; `emptied`: old
+    shards left without rows.
+    """
 
     rows: DataFrame
     transfers: dict[tuple[int, int], int]
     affected: list[int]
+    emptied: list[int]
 
 
 def reshard(
-    docs: DataFrame, old_shard: Column, size: Column, capacities: Sequence[int] | int, key: str = "doc_id", cost=move_cost,
+    docs: DataFrame, old_shard: Column, size: Column, capacities: Sequence[int] | int, key: str = "doc_id", cost=move_cost, spread: Sequence[str] = (),
 ) -> Resharding:
     """Assign every row of `docs` to a new shard so that the fewest bytes leave their old one.
 
     `old_shard` is a whole number from a bounded range, `size` the bytes of a row; `capacities` are
     bytes per new shard, or a number of shards to make equal. Old shards are laid out in blocks by a
-    hash of the key; their byte ranges are cut by the planned transfers, and a row goes where its
+    hash of the key, the size and the columns `spread` (which keep many rows of one key, such as null,
+    apart); their byte ranges are cut by the planned transfers, and a row goes where its
     first byte lies, so a shard misses its capacity by less than one row per transfer. Slots count
     from 0 in each shard without gaps. Only sums per shard reach the driver; running sums are taken
     over blocks, and within a block of at most about ROWS_PER_BLOCK rows and BYTES_PER_BLOCK bytes. A null key hashes like any other;
-    rows equal in key and size are interchangeable. `affected` lists new shards whose rows change.
-    An empty table gives no rows. Columns named old_shard, shard or slot are replaced.
+    rows equal in all of these are interchangeable. An old shard's order doesn't depend on the
+    capacities, so a shard that is not affected keeps its slots. An empty table gives no rows. Columns
+    named old_shard, old_slot, shard or slot are replaced.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c not in ("old_shard", "shard", "slot")]
-    laid = docs.withColumns({"old_shard": old_shard.cast("int"), "at": F.struct(size.cast("long").alias("size"), F.xxhash64(key).alias("hash"))}).select(*rest, "old_shard", "at")
+    rest = [c for c in docs.columns if c not in ("old_shard", "old_slot", "shard", "slot")]
+    laid = docs.withColumns({"old_shard": old_shard.cast("int"), "at": F.struct(size.cast("long").alias("size"), F.xxhash64(key, size.cast("long"), *spread).alias("hash"))}).select(*rest, "old_shard", "at")
     narrow = laid.select("old_shard", F.col(key), "at")
     totals = {r["old_shard"]: (r["bytes"], r["rows"]) for r in narrow.groupBy("old_shard").agg(F.sum("at.size").alias("bytes"), F.count("*").alias("rows")).collect()}
     total_bytes, total_rows = (sum(t[k] for t in totals.values()) for k in (0, 1))
@@ -139,15 +147,30 @@ def reshard(
     shift = F.lit(None).cast("long")
     for i, j, by in base:
         shift = F.when((F.col("old_shard") == i) & (F.col("shard") == j), F.lit(by)).otherwise(shift)
-    rows = assigned(laid).withColumn("slot", (F.col("rank") + shift).cast("long")).drop("rank")
-    moved = {x for i, j, _ in base if i != j for x in (i, j)}
-    return Resharding(rows, transfers, [j for j in range(len(capacities)) if j in moved])
+    rows = assigned(laid).withColumn("slot", (F.col("rank") + shift).cast("long")).withColumnRenamed("rank", "old_slot")
+    moved, left = {x for i, j, _ in base if i != j for x in (i, j)}, {j for _, j, _ in base}
+    return Resharding(rows, transfers, sorted(moved & left), sorted({i for i, _, _ in base} - left))
+
 
+def write_layout(rows: DataFrame, path: str) -> None:
+    """Write all shards of `rows` under `path`, one folder a shard."""
+    rows.write.partitionBy("shard").parquet(path)
 
-def rewrite_affected(done: Resharding, path: str) -> None:
-    """Write the new content of the affected shards under `path`; the others keep their files."""
-    rows = done.rows.filter(F.col("shard").isin(done.affected))
-    rows.write.mode("overwrite").partitionBy("shard").parquet(path)
+
+def rewrite_affected(done: Resharding, path: str, columns: Sequence[str] | None = None) -> None:
+    """Bring the shards under `path` from the old layout to the new one, rewriting affected ones only.
+
+    `path` has a folder per shard, as `write_layout` makes them. New files of the affected shards are
+    all written before they take the place of the old ones; then the folders of emptied shards go.
+    The other shards keep their files. `columns` are those of the files (default: all of the rows).
+    """
+    rows = done.rows.select(*(columns or done.rows.columns)).filter(F.col("shard").isin(done.affected))
+    if done.affected:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = done.rows.sparkSession
+    for shard in done.emptied:  # a number of shards, not of rows
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 SHARDS = 16
@@ -166,6 +189,10 @@ def text_bytes() -> Column:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "doc_id", text_bytes().cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), source_shard().alias("home"))
-    rows = reshard(settle(docs, "shard-sizes"), F.col("home"), F.col("size"), SHARDS).rows
+    done = reshard(settle(docs, "shard-sizes"), F.col("home"), F.col("size"), SHARDS, spread=["text_crc32"])
+    path, kept = fresh_path(spark, "shards"), ["doc_id", "size", "text_crc32", "old_shard"]
+    write_layout(done.rows.select(*kept, F.col("old_shard").alias("shard"), F.col("old_slot").alias("slot")), path)
+    rewrite_affected(done, path, [*kept, "shard", "slot"])
+    rows = spark.read.parquet(path)
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

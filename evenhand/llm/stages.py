@@ -73,10 +73,10 @@ def put_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents with their new shard and slot, near-equal in bytes.
 
     Null texts count as empty, repeated rows take a slot each, of equal hashes identifier and size
-    decide. An empty table gives no rows. Columns named old_shard, shard or slot are replaced, all
-    others travel along in one struct.
+    decide. An empty table gives no rows. Columns named old_shard, old_slot, shard or slot are
+    replaced, all others travel along in one struct.
     """
     packed = docs.select("doc_id", F.struct("*").alias("row"), sharding.source_shard().alias("home"), sharding.text_bytes().alias("bytes"))
     rows = sharding.reshard(packed, F.col("home"), F.col("bytes"), sharding.SHARDS).rows
-    taken = {"old_shard", "shard", "slot"}
+    taken = {"old_shard", "old_slot", "shard", "slot"}
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in taken], "old_shard", "shard", "slot")

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evenhand.llm.sharding import equal_capacities, min_cost_transfers, reshard, rewrite_affected
+from evenhand.llm.sharding import equal_capacities, min_cost_transfers, reshard, rewrite_affected, write_layout
 
 
 def least_moved(old, capacities):
@@ -54,7 +54,7 @@ def test_query_is_near_equal_and_gapless(spark, sf):
     assert stay >= sum(min(b, rows["size"].sum() // 16) for b in old) - 16 * rows["size"].max()
 
 
-def test_odd_rows_and_rewrite(spark, make, odd_rows, tmp_path):
+def test_odd_rows(spark, make, odd_rows):
     docs = make(odd_rows)
     done = reshard(docs, F.coalesce(F.length("source"), F.lit(0)) * 0 + F.when(F.col("source") == "a", 0).otherwise(1), F.octet_length(F.coalesce("text", F.lit(""))) + 1, 3)
     rows = done.rows.collect()
@@ -62,9 +62,6 @@ def test_odd_rows_and_rewrite(spark, make, odd_rows, tmp_path):
     for shard in {r["shard"] for r in rows}:
         slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
         assert slots == list(range(len(slots)))
-    rewrite_affected(done, str(tmp_path / "out"))
-    again = spark.read.parquet(str(tmp_path / "out"))
-    assert again.count() == sum(r["shard"] in done.affected for r in rows)
     assert reshard(docs.limit(0), F.lit(0), F.lit(1), 4).rows.count() == 0
 
 
@@ -77,3 +74,26 @@ def test_many_blocks(spark, monkeypatch):
     assert len(sums) == 6 and sums.max() - sums.min() <= 2 * 13
     for _, part in rows.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
+
+
+@pytest.mark.parametrize("homes, capacities, untouched, emptied", [
+    ([0] * 100 + [1] * 150 + [2] * 50, [100, 100, 100], [0], []),
+    ([0] * 100 + [1] * 100 + [5] * 60, [100, 160], [0], [5]),
+    ([0] * 10, [10, 0], [0], []),
+])
+def test_rewrite_beside_existing_files(spark, tmp_path, homes, capacities, untouched, emptied):
+    path = str(tmp_path / "layout")
+    docs = spark.createDataFrame([(k, h, f"row {k}") for k, h in enumerate(homes)], "doc_id long, home int, body string").repartition(4)
+    done = reshard(docs, F.col("home"), F.lit(1), capacities)
+    write_layout(done.rows.select("doc_id", "body", F.col("old_shard").alias("shard"), F.col("old_slot").alias("slot")), path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "layout").rglob("*.parquet")}
+    rewrite_affected(done, path, ["doc_id", "body", "shard", "slot"])
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "layout").rglob("*.parquet")}
+    rows = spark.read.parquet(path).toPandas()
+    assert sorted(rows["doc_id"]) == list(range(len(homes))) and (rows["body"] == "row " + rows["doc_id"].astype(str)).all()
+    assert done.emptied == emptied and not any((tmp_path / "layout" / f"shard={s}").exists() for s in emptied)
+    for shard, n in enumerate(capacities):
+        assert sorted(rows[rows["shard"] == shard]["slot"]) == list(range(n))
+    for shard in untouched:
+        mine = {p: t for p, t in before.items() if f"shard={shard}/" in str(p)}
+        assert mine and shard not in done.affected and all(after.get(p) == t for p, t in mine.items())
