@@ -114,15 +114,22 @@ def turns_of_table(df: DataFrame, conv_id: str = "conv_id", layouts: Iterable[La
     return _exploded(df, conv_id, _flat_turns(layout, F.col))
 
 
-def turns_of_records(df: DataFrame, record: str = "record", conv_id: str = "conv_id", layouts: Iterable[Layout] = LAYOUTS) -> DataFrame:
+TURNS = "array<struct<role:string,text:string>>"
+
+
+def turns_of_records(df: DataFrame, record: str = "record", conv_id: str = "conv_id", layouts: Iterable[Layout] = LAYOUTS, unmapped: str = "error") -> DataFrame:
     """Canonical turns of JSON records of mixed layouts, each row choosing its mapping by fingerprint.
 
-    A row's fingerprint covers the known paths that it holds, tried in its first array element for
-    paths into arrays. Records that are null, no JSON or of no known layout give no turns;
-    `record_fingerprints` shows them.
+    A row's fingerprint covers the known paths that it holds, in any element of an array; an empty
+    array counts as having all paths of its elements and gives no turns. A field that only some
+    elements have is empty in the others. Records that are null, no JSON or of no known layout are an
+    error that names their paths; with `unmapped="skip"` they give no turns, and `unmapped_records`
+    returns them.
     """
     marked = record_fingerprints(df.select(conv_id, record), record, layouts)
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+    turns = F.lit(None).cast(TURNS)
+    if unmapped == "error":
+        turns = F.raise_error(F.concat(F.lit("no mapping for the field paths ["), "found_paths", F.lit("]"))).cast(TURNS)
     for mark, layout in _by_fingerprint(layouts).items():
         if layout.rows:
             continue
@@ -136,12 +143,26 @@ def turns_of_records(df: DataFrame, record: str = "record", conv_id: str = "conv
     return _exploded(marked, conv_id, turns)
 
 
+def unmapped_records(df: DataFrame, record: str = "record", layouts: Iterable[Layout] = LAYOUTS) -> DataFrame:
+    """The rows of `df` that `turns_of_records` has no mapping for, with `found_paths`."""
+    known = [mark for mark, layout in _by_fingerprint(layouts).items() if not layout.rows]
+    return record_fingerprints(df, record, layouts).filter(~F.col("fingerprint").isin(known)).drop("parsed", "fingerprint")
+
+
 def record_fingerprints(df: DataFrame, record: str = "record", layouts: Iterable[Layout] = LAYOUTS) -> DataFrame:
-    """`df` with `parsed` (variant) and `fingerprint` of the known field paths in the JSON `record`."""
+    """`df` with `parsed` (variant), `found_paths` and `fingerprint` of the known field paths in the JSON `record`."""
     parsed = df.withColumn("parsed", F.try_parse_json(F.coalesce(F.col(record), F.lit("null"))))
+
+    def held(path: str) -> Column:
+        name, inside, rest = path.partition("[].")
+        if not inside:
+            return F.try_variant_get("parsed", f"$.{path}", "variant").isNotNull()
+        elements = F.try_variant_get("parsed", f"$.{name}", "array<variant>")
+        return F.exists(elements, lambda x: F.try_variant_get(x, f"$.{rest}", "variant").isNotNull()) | (F.size(elements) == 0)
+
     known = known_paths([x for x in layouts if not x.rows])
-    held = [F.when(F.try_variant_get("parsed", "$." + p.replace("[]", "[0]"), "variant").isNotNull(), p) for p in known]
-    return parsed.withColumn("fingerprint", F.sha2(F.concat_ws("\n", *held), 256))
+    paths = F.concat_ws("\n", *[F.when(held(p), p) for p in known])
+    return parsed.withColumns({"found_paths": F.replace(paths, F.lit("\n"), F.lit(", ")), "fingerprint": F.sha2(paths, 256)})
 
 
 # The template: a turn is <s>[INST]role[/INST]text</s>. In roles and texts a backslash is doubled, and

@@ -35,15 +35,24 @@ def test_records_choose_their_mapping(spark):
         {"instruction": "q", "input": "more", "output": "a"}, {"instruction": "q", "output": "a"},
         {"prompt": "q", "response": "a"}, {"prompt": "q", "completion": "a"}, {"system": "s", "prompt": "q", "response": "a"},
         {"unknown": 1}, None,
+        {"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"content": "a"}]}, {"messages": []},
+        {"prompt": "q", "response": "a", "input": "extra"}, {"messages": "text"},
     ]
     rows = [(k, None if s is None else json.dumps(s)) for k, s in enumerate(said)] + [(99, "no json {")]
-    turns = chat.turns_of_records(spark.createDataFrame(rows, "conv_id long, record string")).orderBy("conv_id", "turn").collect()
+    records = spark.createDataFrame(rows, "conv_id long, record string")
+    turns = chat.turns_of_records(records, unmapped="skip").orderBy("conv_id", "turn").collect()
     got = {}
     for t in turns:
         got.setdefault(t["conv_id"], []).append((t["role"], t["text"]))
     plain = [("user", "q"), ("assistant", "a")]
     assert got == {0: [("user", "q"), ("assistant", "")], 1: plain, 2: [("user", "q\n\nmore"), ("assistant", "a")], 3: plain, 4: plain, 5: plain,
-                   6: [("system", "s"), *plain]}
+                   6: [("system", "s"), *plain], 9: [("system", ""), ("user", "q"), ("", "a")]}
+    # Every record either has its turns (none, for no messages) or is among the unmapped ones.
+    left = {r["conv_id"]: r["found_paths"] for r in chat.unmapped_records(records).collect()}
+    assert left == {7: "", 8: "", 99: "", 11: "input, prompt, response", 12: ""}
+    assert set(got) | set(left) | {10} == {k for k, _ in rows}
+    with pytest.raises(Exception, match="no mapping for the field paths .input, prompt, response"):
+        chat.turns_of_records(records.filter("conv_id = 11")).collect()
 
 
 def test_tables_choose_their_mapping(spark):
