@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 WINDOW = 35
 MMER = 8
 HOT_OCCURRENCES = 50_000  # beyond this, a minimiser's strings are split by a longer one
+MOST_LISTED = 1 << 20  # hot minimisers that travel with the tasks, 8 MB; beyond that they are joined
 CHUNK_WORDS = 1 << 18
 CACHED_WORDS = 1 << 19
 
@@ -92,33 +93,38 @@ def super_kmers(words: np.ndarray, sizes: np.ndarray, window: int, mmer: int) ->
     return hashes[p[run]], d[run], starts[run] - first[d[run]], count
 
 
-def _find(batches: Iterator[pa.RecordBatch], window: int, mmer: int) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], window: int, mmer: int) -> Iterator[tuple]:
+    """Keys and words of some documents at a time, with their super-k-mers (see `super_kmers`)."""
     known = _WordHashes()
 
-    def emit(k1: list, k2: list, words: list, sizes: list) -> pa.RecordBatch:
-        flat = np.concatenate(words) if words else np.array([], np.uint64)
-        low, doc, start, count = super_kmers(flat, np.array(sizes, dtype=np.int64), window, mmer)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(k1, dtype=np.int64)[doc]), pa.array(np.array(k2, dtype=np.int64)[doc]),
-             pa.array(low.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-            names=["k1", "k2", "minimiser", "start", "windows"])
+    def chunk(k1: list, k2: list, words: list) -> tuple:
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        flat = np.fromiter((known[w] for found in words for w in found), np.uint64, sizes.sum())
+        return k1, k2, words, *super_kmers(flat, sizes, window, mmer)
 
     for batch in batches:
-        k1, k2, words, sizes, held = [], [], [], [], 0
+        k1, k2, words, held = [], [], [], 0
         for a, b, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("passage_text")):
             found = text.as_py().split()
             if len(found) < window:
                 continue
             k1.append(a)
             k2.append(b)
-            sizes.append(len(found))
-            words.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+            words.append(found)
             held += len(found)
             if held >= CHUNK_WORDS:
-                yield emit(k1, k2, words, sizes)
-                k1, k2, words, sizes, held = [], [], [], [], 0
-        if sizes:
-            yield emit(k1, k2, words, sizes)
+                yield chunk(k1, k2, words)
+                k1, k2, words, held = [], [], [], 0
+        if words:
+            yield chunk(k1, k2, words)
+
+
+def _find(batches: Iterator[pa.RecordBatch], window: int, mmer: int) -> Iterator[pa.RecordBatch]:
+    for k1, k2, _, low, doc, start, count in _chunks(batches, window, mmer):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(k1, dtype=np.int64)[doc]), pa.array(np.array(k2, dtype=np.int64)[doc]),
+             pa.array(low.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+            names=["k1", "k2", "minimiser", "start", "windows"])
 
 
 PACKED = "k1 long, k2 long, minimiser long, start int, packed binary"
@@ -152,6 +158,19 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
     return _packed_batches(rows())
 
 
+def _pack_listed(batches: Iterator[pa.RecordBatch], window: int, mmer: int, listed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of the sorted minimisers `listed`, packed while the texts are read."""
+    def rows() -> Iterator[tuple]:
+        for k1, k2, words, low, doc, start, count in _chunks(batches, window, mmer):
+            low = low.view(np.int64)
+            at = np.minimum(np.searchsorted(listed, low), len(listed) - 1)
+            for i in np.flatnonzero(listed[at] == low).tolist():
+                d, s = doc[i], int(start[i])
+                yield k1[d], k2[d], int(low[i]), s, b" ".join(words[d][s:s + count[i] + window - 1])
+
+    return _packed_batches(rows())
+
+
 def _split_finer(batches: Iterator[pa.RecordBatch], window: int, mmer: int) -> Iterator[pa.RecordBatch]:
     """Packed strings cut into super-k-mers of longer minimisers."""
     known = _WordHashes()
@@ -308,7 +327,14 @@ def remove_repeats(
     bucketed, loose = packed(counted.filter(~is_hot)), None
     if not counted.filter(is_hot).isEmpty():
         finer_mmer = (mmer + window) // 2
-        finer = settle(packed(counted.filter(is_hot)).mapInArrow(lambda batches: _split_finer(batches, window, finer_mmer), PACKED), "finer-super-kmers")
+        # At most the places divided by `hot`; while they are few, a second reading spares a shuffle of the texts.
+        few = counted.filter(is_hot).select("minimiser").limit(MOST_LISTED + 1).collect()
+        if len(few) <= MOST_LISTED:
+            listed = np.sort(np.array([r["minimiser"] for r in few], dtype=np.int64))
+            strings = prepared.select("k1", "k2", "passage_text").mapInArrow(lambda batches: _pack_listed(batches, window, mmer, listed), PACKED)
+        else:
+            strings = packed(counted.filter(is_hot))
+        finer = settle(strings.mapInArrow(lambda batches: _split_finer(batches, window, finer_mmer), PACKED), "finer-super-kmers")
         counted = recurring(finer, "recurring-finer-minimisers")
         bucketed = bucketed.unionByName(finer.join(counted.filter(~is_hot).select("minimiser"), "minimiser"))
         if not counted.filter(is_hot).isEmpty():

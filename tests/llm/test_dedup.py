@@ -53,9 +53,10 @@ def cut_by_brute_force(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-@pytest.mark.parametrize("seed", range(3))
-def test_substrings_against_brute_force(spark, make, odd_rows, seed, hot):
+@pytest.mark.parametrize("hot, listed", [(50_000, 1 << 20), (1, 1 << 20), (4, 1 << 20), (1, 0)])
+@pytest.mark.parametrize("seed", range(2))
+def test_substrings_against_brute_force(spark, make, odd_rows, monkeypatch, seed, hot, listed):
+    monkeypatch.setattr(substring_dedup, "MOST_LISTED", listed)
     rnd = random.Random(seed)
     passages = [[rnd.choice("abcdef") for _ in range(rnd.randrange(5, 40))] for _ in range(4)]
     rows = [(200 + k, " ".join(sum(([*rnd.choice(passages), *[rnd.choice("abcxyz") for _ in range(rnd.randrange(0, 9))]] for _ in range(rnd.randrange(0, 5))), [])), "en", "s") for k in range(25)]
@@ -107,12 +108,12 @@ def grouped(values, budget):
     return [top(k) for k in range(len(values))]
 
 
-@pytest.mark.parametrize("leaf,budget", [(1 << 17, 2), (16, 3)])
+@pytest.mark.parametrize("leaf,budget", [(1 << 17, 2), (16, 3), (4, 2)])
 def test_trie_links_against_all_pairs(spark, leaf, budget):
     rnd = random.Random(leaf)
     values = {0, 2 ** 64 - 1, 1 << 63}
     for _ in range(40):  # crowded prefixes, chains of near values
-        x = rnd.getrandbits(64) if rnd.random() < 0.5 else rnd.getrandbits(12) << 50
+        x = rnd.getrandbits(64) if rnd.random() < 0.5 else rnd.getrandbits(12) << 50 if leaf > 4 else rnd.getrandbits(14) << 6
         for _ in range(rnd.randrange(1, 6)):
             values.add(x)
             x ^= 1 << rnd.randrange(64)
