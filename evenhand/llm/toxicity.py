@@ -21,7 +21,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 WINDOW = 100  # bytes, extended to the next space
 SAMPLE = 2_500  # training documents of each class
-SAMPLE_WINDOWS = 64  # windows of each training document that reach the driver
 BASE_BYTES, OWN_BYTES, LEAD_BYTES = 100_000, 16_384, 200
 GRAMS = (6, 8)  # lengths of the byte runs that tell texts apart
 MIN_SHARE, MIN_LIFT = 0.02, 15.0
@@ -173,8 +172,8 @@ def calibrate(seen: np.ndarray, y: np.ndarray, importance: np.ndarray, rounds: i
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE) -> Model:
     """Fit on at most `per_class` labelled documents of each class outside fold 0.
 
-    Three fifths of the sample train the dictionaries, by up to SAMPLE_WINDOWS windows of a document;
-    the others calibrate the scores of whole texts. Without documents of both classes the score is
+    Three fifths of the sample train the dictionaries, whole texts that meet on the driver; the others
+    calibrate the scores, of whole texts too. Without documents of both classes the score is
     the share of label 1, or 0 without any label.
     """
     sample, sizes = training_sample(docs.select(key, lowered(text).alias("body")), labels, label, per_class, key)
@@ -183,15 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model(b"", b"", b"", np.zeros(5), np.ones(5), np.zeros(6), share)
     part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(5)) < 3
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value, body in zip(batch.column("label").to_pylist(), batch.column("body")):
-                pieces = windows(body.as_py())
-                step = max(1, -(-len(pieces) // SAMPLE_WINDOWS))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([value], pa.int32()), pa.array([b"\n".join(pieces[::step])], pa.binary())], names=["label", "body"])
-
-    few = sample.filter(part).select("label", "body").mapInArrow(pick, "label int, body binary").collect()
+    few = sample.filter(part).select("label", "body").collect()
     toxic = [bytes(r["body"]) for r in few if r["label"] == 1]
     ordinary = [bytes(r["body"]) for r in few if r["label"] == 0]
     own, rest, lead = train_dictionaries(toxic, ordinary)
