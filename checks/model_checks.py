@@ -62,12 +62,22 @@ def e4(spark, sf):
     return encoding.long_form(encoding.encode(one, encoding.entity_index(trials)))
 
 
+# All terms of a trial as one digest: a row per term is too much to compare for some clients.
+def per_trial(long):
+    """Number and digest of the terms of each trial, from (match_id, col, val) rows."""
+    term = F.concat_ws(":", "col", F.col("val").cast("int"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", term.alias("t")))), lambda s: s["t"]), " ")
+    return long.groupBy("match_id").agg(F.count(F.lit(1)).alias("terms"), F.md5(ordered).alias("digest"))
+
+
+PER_TRIAL = "SELECT match_id, COUNT(*) AS terms, md5(string_agg(col || ':' || CAST(val AS INT), ' ' ORDER BY col)) AS digest"
+
+
 @check("e5_e6_j9_pair_terms", f"""WITH {PAIRS}
-    SELECT match_id, CAST(col AS INT) AS col, CAST(val AS DOUBLE) AS val FROM paired
-    UNION ALL SELECT match_id, CAST(col AS INT), CAST(val AS DOUBLE) FROM signed""")
+    {PER_TRIAL} FROM (SELECT match_id, col, val FROM paired UNION ALL SELECT match_id, col, val FROM signed) GROUP BY 1""")
 def e6(spark, sf):
     enc, index = encoded(spark, sf)
-    return encoding.pairwise_rows(settle(enc, "encoded"), index.count())
+    return per_trial(encoding.pairwise_rows(settle(enc, "encoded"), index.count()))
 
 
 @check("e7_kept_columns", f"""WITH {PAIRS}, c AS (SELECT col FROM paired GROUP BY col HAVING COUNT(*) >= 30
@@ -80,14 +90,14 @@ def e7(spark, sf):
 
 
 @check("e7_trimmed_terms", f"""WITH {PAIRS}, c AS (SELECT col FROM paired GROUP BY col HAVING COUNT(*) >= 30
-        UNION ALL SELECT col FROM ids), k AS (SELECT col, row_number() OVER (ORDER BY col) - 1 AS new_col FROM c)
-    SELECT match_id, CAST(new_col AS INT) AS col, CAST(val AS DOUBLE) AS val
-    FROM (SELECT match_id, col, val FROM paired UNION ALL SELECT match_id, col, val FROM signed) JOIN k USING (col)""")
+        UNION ALL SELECT col FROM ids), k AS (SELECT col AS old, row_number() OVER (ORDER BY col) - 1 AS col FROM c)
+    {PER_TRIAL} FROM (SELECT match_id, k.col, val FROM
+        (SELECT match_id, col AS old, val FROM paired UNION ALL SELECT match_id, col, val FROM signed) JOIN k USING (old)) GROUP BY 1""")
 def e7_terms(spark, sf):
     enc, index = encoded(spark, sf)
     n = index.count()
     kept = encoding.kept_columns(encoding.pair_occurrences(enc, n), n, 30)
-    return encoding.long_form(encoding.trim(encoding.with_pairs(enc, n), kept))
+    return per_trial(encoding.long_form(encoding.trim(encoding.with_pairs(enc, n), kept)))
 
 
 @check("e8_antisymmetry", f"""WITH {PAIRS}

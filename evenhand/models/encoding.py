@@ -19,7 +19,7 @@ from evenhand.operators.ranking import with_global_index
 from evenhand.workspace import settle
 
 # Ids up to this bound are looked up in an array literal inside the scan stage; beyond it, the
-# same functions join and regroup by line-up. The plan changes, the result does not.
+# same functions join and regroup by row. The plan changes, the result does not.
 MAX_DENSE_ID = 65_536
 
 
@@ -64,27 +64,41 @@ def signed_ids(team_a: str = "radiant_team", team_b: str = "dire_team") -> Colum
     return F.concat(side(team_a, 1.0), side(team_b, -1.0))
 
 
+ROW_KEY = "_row"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """A stored copy of `df` whose rows are numbered by `ROW_KEY`, so that equal rows stay apart.
+
+    The numbers are written with the rows: a lost executor cannot renumber them.
+    """
+    return settle(df.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def no_terms() -> Column:
+    return F.array().cast("array<struct<col:int,val:double>>")
+
+
 def translate(
     df: DataFrame, terms: Column, mapping: DataFrame, key: str, value: str,
     carry: Sequence[str], trial: str = "match_id", name: str = "terms", max_id: int = MAX_DENSE_ID,
 ) -> DataFrame:
     """Replace the ids of (id, val) terms by the mapping's integers, giving sorted (col, val) terms.
 
-    Ids outside the mapping are dropped. Returns `trial`, the `carry` columns and the terms.
+    Ids outside the mapping are dropped, and a row whose terms are null has none. Returns `trial`,
+    the `carry` columns and the terms, one row for each row of `df`, repeated ones included.
     """
     keep = [trial, *[c for c in carry if c != trial]]
     lookup = dense_lookup(mapping, key, value, "int", max_id)
     if lookup is not None:
         mapped = F.transform(terms, lambda t: F.struct(lookup(t["id"]).alias("col"), t["val"].alias("val")))
-        return df.select(*keep, F.sort_array(F.filter(mapped, lambda t: t["col"].isNotNull())).alias(name))
-    # Equal terms translate alike, so they are grouped by themselves: repeated trial ids do no harm.
-    marked = df.select(*keep, terms.alias("_terms"))
-    long = marked.select("_terms").distinct().select("_terms", F.explode("_terms").alias("t"))
-    matched = long.select("_terms", F.col("t.id").alias(key), F.col("t.val").alias("val")).join(
-        mapping.select(key, F.col(value).cast("int").alias("col")), key)
-    per_terms = matched.groupBy("_terms").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias(name))
-    empty = F.array().cast("array<struct<col:int,val:double>>")
-    return marked.join(per_terms, "_terms", "left").select(*keep, F.coalesce(name, empty).alias(name))
+        known = F.sort_array(F.filter(mapped, lambda t: t["col"].isNotNull()))
+        return df.select(*keep, F.coalesce(known, no_terms()).alias(name))
+    rows = with_row_key(df.select(*keep, terms.alias("_terms")))
+    known = mapping.select(key, F.col(value).cast("int").alias("col")).filter("col is not null")
+    long = rows.select(ROW_KEY, F.inline("_terms")).select(ROW_KEY, F.col("id").alias(key), "val")
+    per_row = long.join(known, key).groupBy(ROW_KEY).agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias(name))
+    return rows.join(per_row, ROW_KEY, "left").select(*keep, F.coalesce(name, no_terms()).alias(name))
 
 
 def encode(

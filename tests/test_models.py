@@ -204,3 +204,25 @@ def test_latest_snapshot_is_dated_by_its_file(spark, tmp_path):
         (folder / f"live_{day}.csv").write_text("hero_id,name,picks,wins,win_rate\n1,a,2,1,0.5\n")
     rows = read_latest_snapshot(spark, f"{tmp_path}/*/*.csv").collect()
     assert [r["snapshot_date"] for r in rows] == ["2026-08-01"]
+
+
+def test_lookup_paths_agree_on_repeats_nulls_and_nan(spark):
+    nan = float("nan")
+    teams = [(1, FIRST, SECOND), (1, FIRST, SECOND), (2, None, SECOND), (3, FIRST, None), (4, FIRST, [None, 26, 35, 42, 999])]
+    rows = spark.createDataFrame(teams, "match_id long, radiant_team array<int>, dire_team array<int>")
+    table = [(h, 0.1 * i) for i, h in enumerate(IDS)]
+    table[1], table[3], table[6] = (2, nan), (8, None), (26, float("inf"))
+    weights = spark.createDataFrame(table, "hero_id int, weight double")
+    index = spark.createDataFrame([(h, i) for i, h in enumerate(IDS)], "hero_id int, col int")
+
+    def both(run):
+        literal, joined = (sorted(map(str, run(m).collect())) for m in (encoding.MAX_DENSE_ID, 0))
+        assert literal == joined
+        return literal
+
+    both(lambda m: encoding.encode(rows, index, carry=(), max_id=m))
+    scores = both(lambda m: scoring.with_side_difference(rows, weights.fillna(0.0), max_id=m).select("match_id", "score"))
+    assert sum("None" in r for r in scores) == 2
+    places = both(lambda m: scoring.contributions(rows, weights, max_id=m))
+    assert len(places) == 18 and sum("place=9" in r and "hero_id=2," in r for r in places) == 2
+    both(lambda m: scoring.score_line_ups(rows, index.select("hero_id", F.lit(0.5).alias("weight")), 0.1, max_id=m))
