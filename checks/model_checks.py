@@ -364,6 +364,18 @@ def m3(spark, sf):
     return training.logistic_report(prepared(spark, sf))
 
 
+# Every fit of the search: its rows by plain counting, one best value, slopes within the tolerance.
+@check("m16_fold_fits", f"""
+    WITH n AS (SELECT COUNT(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY match_id) - 1 AS pos FROM trials) WHERE pos < {N_TRAIN})
+    SELECT C, fold, n - (4 - fold) * (n // 5) AS train_rows, n // 5 AS test_rows, true AS converged, CAST(1 AS BIGINT) AS best_values
+    FROM n, (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS fold), (SELECT unnest([0.01, 0.03, 0.1, 0.3, 1.0, 3.0])::DOUBLE AS C)""")
+def m16(spark, sf):
+    data = prepared(spark, sf)
+    table = logistic.fold_table(data.train_vectors, logistic.fold_fits(data.train_vectors, training.LOGISTIC_GRID, 4))
+    best = table.filter("best").agg(F.countDistinct("C")).scalar()
+    return table.select("C", "fold", "train_rows", "test_rows", "converged", best.alias("best_values"))
+
+
 @check("m3_optimality", "SELECT COUNT(*) AS columns, true AS at_optimum FROM ids")
 def m3_optimality(spark, sf):
     data = prepared(spark, sf)

@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Sequence
-from functools import partial
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.models.evaluation import log_loss
 from evenhand.models.folds import expanding_folds
-from evenhand.workspace import concurrently, gather
+from evenhand.models.gridfit import Candidate, Fit, fit_all
+from evenhand.workspace import gather
 
 
 def fit(
     train: DataFrame, c: float, rows: int | None = None, label: str = "radiant_win", features: str = "features",
-    max_iter: int = 200, tol: float = 1e-6,
+    max_iter: int = 2000, tol: float = 1e-6,
 ) -> LogisticRegressionModel:
     """Minimise half the squared norm of the weights plus `c` times the summed loss.
 
     Spark minimises mean loss plus regParam times half the squared norm, so regParam is
     1 / (c * rows), with the row count of this very fit. Features keep their scale, as the penalty
-    is meant for the raw signed columns; the intercept is not penalised.
+    is meant for the raw signed columns; the intercept is not penalised. Warns if the iterations ran out.
     """
     rows = train.count() if rows is None else rows
-    return LogisticRegression(
+    model = LogisticRegression(
         featuresCol=features, labelCol=label, regParam=1.0 / (c * rows), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter, tol=tol,
     ).fit(gather(train, rows))
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"the fit with c={c} stopped at {max_iter} iterations", stacklevel=2)
+    return model
 
 
 def predict(model, rows: DataFrame, name: str, label: str = "radiant_win", trial: str = "match_id") -> DataFrame:
@@ -40,28 +45,46 @@ def predict(model, rows: DataFrame, name: str, label: str = "radiant_win", trial
     )
 
 
-def search(
+def fold_fits(
     train: DataFrame, grid: Sequence[float], k: int, label: str = "radiant_win", order: str = "match_id",
-    parallelism: int = 8, **fit_options,
-) -> tuple[float, list[tuple[float, float]]]:
-    """The first best value of C by mean negative log loss over expanding folds, and all scores.
-
-    Fits are independent jobs and run a few at a time; each one is distributed.
-    """
+    features: str = "features", tol: float = 1e-6, max_iter: int = 2000,
+) -> list[list[Fit]]:
+    """Fits of every C (outer) on every expanding fold (inner), all from the same scans."""
     folds = expanding_folds(train, k, order)
+    block = reduce(lambda a, b: a + b, [(~earlier).cast("int") for earlier, _, _ in folds])
+    vector = F.unwrap_udt(features)
+    first = train.select(F.coalesce(vector["size"], F.size(vector["values"]))).first()
+    rows = gather(train, folds[-1][2] if folds else 0)
+    candidates = [Candidate(c, i) for c in grid for i in range(k)]
+    fits = fit_all(rows, first[0] if first else 0, candidates, block, label, features, tol, max_iter)
+    return [fits[g * k:(g + 1) * k] for g in range(len(grid))]
+
+
+def mean_scores(fits: Sequence[Sequence[Fit]]) -> list[tuple[float, float]]:
+    """(C, mean negative log loss) over the folds with test rows; a value without any scores minus infinity."""
+    def mean(folds: Sequence[Fit]) -> float:
+        losses = [f.next_loss for f in folds if f.next_loss is not None]
+        return -sum(losses) / len(losses) if losses else -math.inf
+
+    return [(folds[0].candidate.c, mean(folds)) for folds in fits]
+
+
+def search(
+    train: DataFrame, grid: Sequence[float], k: int, label: str = "radiant_win", order: str = "match_id", **options
+) -> tuple[float, list[tuple[float, float]]]:
+    """The first best value of C by mean negative log loss over expanding folds, and all scores."""
+    means = mean_scores(fold_fits(train, grid, k, label, order, **options))
+    return max(means, key=lambda m: m[1])[0], means
 
-    def score(job: tuple[float, int]) -> float:
-        c, i = job
-        earlier, block, rows = folds[i]
-        model = fit(train.filter(earlier), c, rows, label, **fit_options)
-        tested = predict(model, train.filter(block), "fold", label, order)
-        return -tested.agg(F.avg(log_loss(F.col("p"), F.col("y")))).first()[0]
 
-    jobs = [partial(score, (c, i)) for c in grid for i in range(k)]
-    scores = concurrently(train.sparkSession, jobs, parallelism)
-    means = [(c, sum(scores[g * k:(g + 1) * k]) / k) for g, c in enumerate(grid)]
-    best = max(means, key=lambda m: m[1])[0]
-    return best, means
+def fold_table(train: DataFrame, fits: Sequence[Sequence[Fit]]) -> DataFrame:
+    """One row per C and fold: rows, score, rounds, whether it converged, and whether its C is the best."""
+    best = max(mean_scores(fits), key=lambda m: m[1])[0]
+    rows = [
+        (f.candidate.c, i, f.train_rows, f.next_rows, None if f.next_loss is None else -f.next_loss, f.rounds, f.converged,
+         f.candidate.c == best) for folds in fits for i, f in enumerate(folds)]
+    return train.sparkSession.createDataFrame(
+        rows, "C double, fold int, train_rows long, test_rows long, neg_log_loss double, rounds int, converged boolean, best boolean")
 
 
 def search_and_fit(
@@ -69,7 +92,6 @@ def search_and_fit(
 ) -> tuple[LogisticRegressionModel, float, list[tuple[float, float]]]:
     """Grid search, then a fit on all training rows with the best value."""
     best, scores = search(train, grid, k, label, order, **options)
-    options.pop("parallelism", None)
     return fit(train, best, label=label, **options), best, scores
 
 
