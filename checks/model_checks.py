@@ -9,7 +9,8 @@ from checks.ctes import strength
 from checks.registry import check
 from evenhand.models import boosting, encoding, evaluation, folds, logistic, lowrank, scoring
 from evenhand.plans import training
-from evenhand.workspace import settle
+from evenhand.sources.readers import read_report
+from evenhand.workspace import fresh_path, settle
 
 N_TRAIN = "CAST(floor((SELECT COUNT(*) FROM trials) * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT)"
 ORDERED = "SELECT *, row_number() OVER (ORDER BY match_id) - 1 AS pos FROM trials"
@@ -460,6 +461,30 @@ def m13(spark, sf):
     return training.comparison(training.all_predictions(prepared(spark, sf)))
 
 
+# The written run read back: its sizes by plain counting, its lists against themselves.
+@check("m13_m9_s8_training_report", f"""
+    WITH o AS ({ORDERED}), n AS (SELECT COUNT(*) FILTER (pos < {N_TRAIN}) AS n_train, COUNT(*) FILTER (pos >= {N_TRAIN}) AS n_test,
+        avg(radiant_win) FILTER (pos < {N_TRAIN}) AS tr, avg(radiant_win) FILTER (pos >= {N_TRAIN}) AS te FROM o)
+    SELECT n_train + n_test AS n_trials, n_train, n_test, (SELECT COUNT(*) FROM ids) AS n_entities, round(tr, 9) AS rate_train,
+        round(te, 9) AS rate_test, unnest(['gradient_boosting', 'hero_winrate_sum', 'logistic_regression', 'logreg_pairwise', 'majority_class']) AS model,
+        n_test AS rows, true AS paired_rows_agree, true AS best_c_in_grid, true AS best_loss_marked, n_test AS calibrated FROM n""")
+def m13_report(spark, sf):
+    path = fresh_path(spark, "training")
+    training.write_training(training.train_all(prepared(spark, sf)), path)
+    report = read_report(spark, f"{path}/report")
+    rows = report.select("*", F.explode("results").alias("r"))
+    pairs = F.col("r.both_right") + F.col("r.only_base") + F.col("r.only_other") + F.col("r.both_wrong")
+    c = F.coalesce(F.when(F.col("r.model") == training.BASE, F.col("r.best_C").isin(*training.LOGISTIC_GRID)).when(
+        F.col("r.model") == "logreg_pairwise", F.col("r.best_C").isin(*training.PAIRWISE_GRID)).otherwise(
+        F.col("r.best_C").isNull()), F.lit(False))
+    least = F.array_min("results.log_loss")
+    return rows.select(
+        "n_trials", "n_train", "n_test", "n_entities", *r9("rate_train", "rate_test"), F.col("r.model").alias("model"),
+        F.col("r.n").alias("rows"), (F.coalesce(pairs, "n_test") == F.col("n_test")).alias("paired_rows_agree"),
+        c.alias("best_c_in_grid"), ((F.col("r.log_loss") - least < 1e-12) == F.col("r.best_log_loss")).alias("best_loss_marked"),
+        F.aggregate("calibration.n", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("calibrated"))
+
+
 @check("m14_models_by_stratum")
 def m14(spark, sf):
     return training.stratum_report(prepared(spark, sf), c=0.01)

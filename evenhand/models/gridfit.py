@@ -98,7 +98,7 @@ def descend(candidate: Candidate, size: int, tol: float, max_rounds: int, memory
             pairs.append((there - x, there_slope - slope))
         x, loss, slope, sums = there, there_loss, there_slope, tried
     gap = float(np.abs(slope).max())
-    return Fit(candidate, x[:-1], float(x[-1]), int(rows), int(sums[3]), sums[2] / sums[3] if sums[3] else None,
+    return Fit(candidate, x[:-1], float(x[-1]), int(rows), int(sums[3]), float(sums[2] / sums[3]) if sums[3] else None,
                rounds, gap, gap <= tol)
 
 

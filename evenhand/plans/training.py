@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evenhand.models import boosting, encoding, evaluation, folds, logistic, lowrank, scoring
 from evenhand.sources.readers import read_model
-from evenhand.sources.sinks import write_model
+from evenhand.sources.sinks import write_model, write_report, write_table
 from evenhand.workspace import concurrently, fresh_path, settle
 
 LOGISTIC_GRID = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
@@ -160,24 +160,81 @@ def determinism_report(data: Prepared, model: LogisticRegressionModel, meaningfu
     return scores.withColumn("_s", spread.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
 
 
-def all_predictions(
-    data: Prepared, logistic_c: float = 0.01, pairwise_c: float = 0.003, boosting_iterations: int = 400
-) -> DataFrame:
-    """Held-out predictions of all models at given settings, as one stored table."""
-    def linear() -> DataFrame:
-        return logistic.predict(logistic.fit(data.train_vectors, logistic_c), data.test_vectors, BASE)
+@dataclass
+class TrainingRun:
+    """All models of one split: stored held-out predictions, the fitted base model, and the settings used."""
+
+    data: Prepared
+    predictions: DataFrame
+    model: LogisticRegressionModel
+    settings: dict[str, float]
+
+
+def train_all(
+    data: Prepared, logistic_grid: Sequence[float] = LOGISTIC_GRID, pairwise_grid: Sequence[float] = PAIRWISE_GRID,
+    boosting_iterations: int = 400,
+) -> TrainingRun:
+    """Search, fit and predict every model once; the searched C is the one behind the predictions.
+
+    A grid of one value needs no search.
+    """
+    def searched(train: DataFrame, grid: Sequence[float], k: int) -> tuple[LogisticRegressionModel, float]:
+        c = grid[0] if len(grid) == 1 else logistic.search(train, grid, k)[0]
+        return logistic.fit(train, c), c
 
-    def pairwise() -> DataFrame:
+    def linear():
+        model, c = searched(data.train_vectors, logistic_grid, 4)
+        return logistic.predict(model, data.test_vectors, BASE), model, c
+
+    def pairwise():
         train, test = data.split(_pairwise_vectors(data)[0])
-        return logistic.predict(logistic.fit(train, pairwise_c), test, "logreg_pairwise")
+        model, c = searched(train, pairwise_grid, 3)
+        return logistic.predict(model, test, "logreg_pairwise"), model, c
 
     def boosted() -> DataFrame:
         model = boosting.fit(data.train_vectors, boosting_iterations)
         return logistic.predict(model, data.test_vectors, "gradient_boosting")
 
-    parts = concurrently(
+    trees, (pairs, _, pair_c), (base, model, c), solo = concurrently(
         data.vectors.sparkSession, [boosted, pairwise, linear, partial(solo_rate_sum, data)])
-    return settle(_union([majority_class(data.train, data.test), *parts]), "predictions")
+    predictions = settle(_union([majority_class(data.train, data.test), trees, pairs, base, solo]), "predictions")
+    return TrainingRun(data, predictions, model, {BASE: c, "logreg_pairwise": pair_c})
+
+
+def all_predictions(data: Prepared, **options) -> DataFrame:
+    """Held-out predictions of all models as one stored table; options as for `train_all`."""
+    return train_all(data, **options).predictions
+
+
+def training_report(run: TrainingRun, label: str = "radiant_win") -> DataFrame:
+    """One row: sizes and rates of the split, every model's scores, C and test against the base model,
+    calibration of the base model, and how decided the trials are at all.
+
+    The nested lists have one element a model or bin.
+    """
+    data = run.data
+    chosen = F.create_map(*[F.lit(x) for name, c in run.settings.items() for x in (name, float(c))])
+    scores = comparison(run.predictions).withColumn("best_C", F.try_element_at(chosen, "model"))
+    bins = evaluation.calibration(run.predictions.filter(F.col("model") == BASE))
+    train, test = (part.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate")) for part in (data.train, data.test))
+
+    def listed(table: DataFrame):
+        return table.agg(F.array_sort(F.collect_list(F.struct("*")))).scalar()
+
+    return train.select(
+        F.col("n").alias("n_train"), test.select("n").scalar().alias("n_test"), F.lit(data.n).alias("n_entities"),
+        F.col("rate").alias("rate_train"), test.select("rate").scalar().alias("rate_test"),
+        listed(settle(scores.select("model", *[c for c in scores.columns if c != "model"]), "scores")).alias("results"),
+        listed(settle(bins, "bins")).alias("calibration"),
+        settle(determinism_report(data, run.model), "determinism").select(F.struct("*")).scalar().alias("determinism"),
+    ).withColumn("n_trials", F.col("n_train") + F.col("n_test"))
+
+
+def write_training(run: TrainingRun, path: str) -> None:
+    """Write report, predictions and the base model's bundle below `path`."""
+    write_report(training_report(run), f"{path}/report")
+    write_table(run.predictions, f"{path}/predictions")
+    save_and_load(run.model, run.data, run.data.vectors.sparkSession, f"{path}/bundle")
 
 
 def comparison(predictions: DataFrame, base: str = BASE) -> DataFrame:
