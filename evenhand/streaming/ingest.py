@@ -45,30 +45,35 @@ def newest(trials: DataFrame, target: int, before: int | None = None, trial: str
     return pool.filter(F.col(trial) >= lowest)
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+ID_RANGE = 1 << 20  # ids of one folder
+
+
+def ingest(stream: DataFrame, table: str, checkpoint: str, id_range: int = ID_RANGE) -> StreamingQuery:
     """Append new valid trials to a Parquet table, each trial id once; stops when caught up.
 
     Within a batch copies are removed by `first_per_trial`, which keeps one row per task before its
-    shuffle, so a much-copied trial is no hot key. Every batch is compared with all stored rows whose
-    id lies between its smallest and largest: copies share the id, so none is missed, whatever their
-    start time, and the files, laid out by id, are pruned by their statistics. A batch owns the folder
-    `source=<streaming query>/batch=<id>`, so neither a repeated batch nor a new checkpoint replaces
-    rows of others; a batch that was written whole is not written again.
+    shuffle, so a much-copied trial is no hot key. Rows are stored by range of ids, and a batch is
+    compared with the stored rows of the ranges it holds: copies share the id, so none is missed,
+    whatever their start time, and one late copy opens one more range, not all between. A batch owns the
+    folder `source=<streaming query>/batch=<id>`, so neither a repeated batch nor a new checkpoint
+    replaces rows of others; a batch that was written whole is not written again. All runs on one table
+    use the same `id_range`.
     """
     spark = stream.sparkSession
     source: Future = Future()  # known once the query has started
-    spark.createDataFrame([], STORED).write.mode("append").partitionBy("source", "batch").parquet(table)
+    spark.createDataFrame([], STORED).write.mode("append").partitionBy("source", "batch", "ids").parquet(table)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = f"{table}/source={source.result()}/batch={batch_id}"
         if _written(spark, folder):
             return
-        unique = first_per_trial(accept(batch)).persist()
-        first, last = unique.agg(F.min("match_id"), F.max("match_id")).first()
+        unique = first_per_trial(accept(batch)).withColumn("ids", F.expr(f"match_id div {id_range}L")).persist()
+        held = [r["ids"] for r in unique.select("ids").distinct().collect()]  # at most the span of ids over id_range
         own = (F.col("source") == source.result()) & (F.col("batch") == batch_id)
-        stored = stored_trials(batch.sparkSession, table).filter(F.col("match_id").between(first, last) & ~own)
-        fresh = unique.join(stored.select("match_id"), "match_id", "left_anti")
-        fresh.repartitionByRange("match_id").sortWithinPartitions("match_id").write.mode("overwrite").parquet(folder)
+        stored = stored_trials(batch.sparkSession, table).filter(F.col("ids").isin(held) & ~own)
+        fresh = unique.join(stored.select("ids", "match_id"), ["ids", "match_id"], "left_anti")
+        laid_out = fresh.repartitionByRange("match_id").sortWithinPartitions("match_id")
+        laid_out.write.mode("overwrite").partitionBy("ids").parquet(folder)
         unique.unpersist()
 
     query = (
@@ -82,7 +87,7 @@ def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 STORED = (
     "match_id long, start_time long, duration int, lobby_type int, game_mode int, avg_rank_tier int, "
     "radiant_win int, radiant_team array<int>, dire_team array<int>, started_at timestamp, bracket long, "
-    "day date, source string, batch int"
+    "day date, source string, batch int, ids long"
 )
 
 
@@ -93,7 +98,7 @@ def _written(spark: SparkSession, folder: str) -> bool:
 
 
 def stored_trials(spark: SparkSession, table: str) -> DataFrame:
-    """The table written by `ingest`, partitioned by streaming query and batch."""
+    """The table written by `ingest`, partitioned by streaming query, batch and range of ids."""
     return spark.read.schema(STORED).parquet(table)
 
 

@@ -54,6 +54,23 @@ def test_new_checkpoints_lose_and_repeat_nothing(spark, api):
     assert ids == sorted(r.match_id for r in tr.valid_trials(some).select("match_id").collect())
 
 
+def test_a_late_copy_opens_its_own_range_only(spark, api):
+    table = fresh_path(spark, "table")
+    some = api.filter("match_id < 1500")
+    late = some.filter("match_id IN (1, 2) OR match_id >= 1400")
+    for df in (some.filter("match_id < 1400"), late, some):
+        landing = fresh_path(spark, "landing")
+        df.coalesce(1).write.json(f"{landing}/1")
+        st.ingest(st.landing_stream(spark, f"{landing}/*", 1), table, fresh_path(spark, "progress"), id_range=100).awaitTermination()
+    stored = st.stored_trials(spark, table)
+    assert sorted(r.match_id for r in stored.select("match_id").collect()) == sorted(r.match_id for r in tr.valid_trials(some).select("match_id").collect())
+    assert stored.filter("ids <> match_id div 100").isEmpty()
+    pruned = stored.filter(F.col("ids").isin([0, 14])).select("match_id")
+    assert "PartitionFilters: [ids" in pruned._jdf.queryExecution().executedPlan().toString()
+    folders = {r[0].split("/ids=")[1].split("/")[0] for r in pruned.select("_metadata.file_path").distinct().collect()}
+    assert folders == {"0", "14"}
+
+
 def test_newest(spark):
     df = spark.range(100).withColumnRenamed("id", "match_id")
     assert sorted(r.match_id for r in st.newest(df, 5, before=50).collect()) == [45, 46, 47, 48, 49]
