@@ -123,6 +123,24 @@ def r1(spark, sf):
     return rc.differences(published.filter(kind != 1), computed, ["hero_id"], {"games": 0, "win_rate": 1e-9})
 
 
+# All trials against a copy with dropped, added and changed rows.
+@check("r1_differences_by_digest", """
+    SELECT * FROM (SELECT match_id, CASE WHEN match_id % 911 = 0 THEN 'only published' WHEN match_id % 911 = 1 THEN 'differs: duration'
+        WHEN match_id % 911 = 2 THEN 'differs: bracket, radiant_win' END AS status FROM trials
+    UNION ALL SELECT -match_id, 'only computed' FROM trials WHERE match_id % 911 = 3) WHERE status IS NOT NULL""")
+def r1_digest(spark, sf):
+    columns = ("match_id", "duration", "bracket", "radiant_win")
+    published = settle(fx.trials(spark, sf).select(*columns), "published")
+    kind = F.col("match_id") % 911
+    computed = published.filter(kind != 0).withColumns({
+        "duration": F.when(kind == 1, F.col("duration") + 1).otherwise(F.col("duration")),
+        "bracket": F.when(kind != 2, F.col("bracket")),
+        "radiant_win": F.when(kind == 2, 1 - F.col("radiant_win")).otherwise(F.col("radiant_win"))})
+    added = published.filter(kind == 3).withColumn("match_id", -F.col("match_id"))
+    return rc.differences_by_digest(
+        published, computed.unionByName(added), ["match_id"], {"duration": 0, "bracket": 0, "radiant_win": 0})
+
+
 @check("p10_f6_f7_verdict_view", """
     SELECT name AS hero, format('{:,}', games) AS games, printf('%.2f%%', win_rate * 100) AS win_rate,
         printf('[%.2f%%, %.2f%%]', ci_low * 100, ci_high * 100) AS interval_95,
