@@ -7,16 +7,19 @@ current points to the tasks and adds up their losses and slopes. Candidates that
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Generator, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installation of this package
+
 FAN = 32  # a round hands at most this many partial sums to the driver
 _HEAD = 4  # loss and rows of the training blocks, then of the block after them
 _MOST = 36.04365338911715  # logit at which the log loss is cut off, as in `evaluation.log_loss`
@@ -127,10 +130,10 @@ def _batch_sums(cols, vals, lengths, block, y, points, last_blocks, curvature: b
     return out
 
 
-_PART = "task int, k int, sums array<double>"
+PART = "task int, k int, sums array<double>"
 
 
-def _as_batch(total: np.ndarray) -> pa.RecordBatch:
+def as_batch(total: np.ndarray) -> pa.RecordBatch:
     """One record per candidate, under the number of this task."""
     k, width = total.shape
     sums = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * width, pa.int32()), pa.array(total.ravel()))
@@ -138,7 +141,7 @@ def _as_batch(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([task] * k, pa.int32()), pa.array(range(k), pa.int32()), sums], ["task", "k", "sums"])
 
 
-def _add_up(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> np.ndarray:
+def add_up(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> np.ndarray:
     total = np.zeros(shape)
     for batch in batches:
         parts = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, shape[1])
@@ -147,6 +150,16 @@ def _add_up(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> np.nda
     return total
 
 
+def in_two_levels(parts: DataFrame, shape: tuple[int, int], tasks: int) -> np.ndarray:
+    """The sum of the batches of all `tasks` tasks; beyond `FAN` of them, tasks add up groups of them first."""
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield as_batch(add_up(batches, shape))
+
+    if tasks > FAN:
+        parts = parts.repartition(FAN, F.col("task") % FAN).mapInArrow(merged, PART)
+    return add_up(iter(parts.toArrow().to_batches()), shape)
+
+
 def _round(rows: DataFrame, points: np.ndarray, last_blocks: Sequence[int], curvature: bool, tasks: int) -> np.ndarray:
     """The sums at every point, in one job: one partial result a task, added up in two levels."""
     shape = (len(points), _HEAD + (2 if curvature else 1) * points.shape[1])
@@ -158,15 +171,9 @@ def _round(rows: DataFrame, points: np.ndarray, last_blocks: Sequence[int], curv
             total += _batch_sums(
                 cols.flatten().to_numpy(), vals.flatten().to_numpy(), cols.value_lengths().to_numpy(),
                 batch.column("block").to_numpy(), batch.column("y").to_numpy(), points, last_blocks, curvature)
-        yield _as_batch(total)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _as_batch(_add_up(batches, shape))
+        yield as_batch(total)
 
-    parts = rows.mapInArrow(partial, _PART)
-    if tasks > FAN:
-        parts = parts.repartition(FAN, F.col("task") % FAN).mapInArrow(merged, _PART)
-    return _add_up(iter(parts.toArrow().to_batches()), shape)
+    return in_two_levels(rows.mapInArrow(partial, PART), shape, tasks)
 
 
 def fit_all(

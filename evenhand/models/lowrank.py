@@ -4,7 +4,7 @@ logit = b + w(A) - w(B) + S(A) - S(B) + P(A)·Q(B) - P(B)·Q(A), where S(T) is t
 the pairs of a side and P, Q are sums over it. Swapping the sides negates everything but b.
 
 Each step is one Spark job: every task computes the gradient of its rows in numpy and emits one
-partial value per parameter, and Spark adds them up. Rows never leave the executors. The
+array, and the arrays are added up in two levels. Rows never leave the executors. The
 optimiser state on the driver has n * (3 * rank + 1) + 1 numbers.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenhand.models.folds import chronological_split
+from evenhand.models.gridfit import PART, as_batch, in_two_levels
 from evenhand.workspace import gather, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -93,19 +94,21 @@ def with_sides(encoded: DataFrame) -> DataFrame:
     return encoded.withColumns({"cols_a": side(True), "cols_b": side(False)})
 
 
-_VAL_LOSS, _VAL_ROWS = -1, -2
 _INDICATOR_CELLS = 2_000_000  # bounds the memory of one gradient step in a task
 
 
-def _step(rows: DataFrame, params: LowRank, label: str) -> dict[int, float]:
-    """Gradient over training rows and log loss over validation rows, in one job."""
+def _step(rows: DataFrame, params: LowRank, label: str, tasks: int) -> np.ndarray:
+    """Gradient over training rows, then log loss and number of validation rows, in one job.
 
+    Every task adds up its rows in one array; the arrays are summed in two levels.
+    """
     chunk = max(1, _INDICATOR_CELLS // len(params.w))
+    size = params.flat().size
 
     def partial(batches):
-        total = np.zeros(params.flat().size)
-        loss, held_out = 0.0, 0
-        for batch in batches:
+        total = np.zeros((1, size + 2))
+        for arrow in batches:
+            batch = arrow.to_pandas()
             if not len(batch):
                 continue
             a, d = np.stack(batch["cols_a"]), np.stack(batch["cols_b"])
@@ -113,19 +116,15 @@ def _step(rows: DataFrame, params: LowRank, label: str) -> dict[int, float]:
             prob = _sigmoid(params.logit(a, d))
             val = batch["held_out"].to_numpy(bool)
             clipped = np.clip(prob[val], 1e-6, 1 - 1e-6)
-            loss -= float(np.where(y[val] == 1, np.log(clipped), np.log1p(-clipped)).sum())
-            held_out += int(val.sum())
+            total[0, size] -= float(np.where(y[val] == 1, np.log(clipped), np.log1p(-clipped)).sum())
+            total[0, size + 1] += val.sum()
             a, d, error = a[~val], d[~val], (prob - y)[~val]
             for at in range(0, len(a), chunk):
-                total += params.gradient(a[at:at + chunk], d[at:at + chunk], error[at:at + chunk])
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({
-            "slot": np.concatenate([used, [_VAL_LOSS, _VAL_ROWS]]).astype(np.int32),
-            "value": np.concatenate([total[used], [loss, held_out]]),
-        })
+                total[0, :size] += params.gradient(a[at:at + chunk], d[at:at + chunk], error[at:at + chunk])
+        yield as_batch(total)
 
-    parts = rows.select("cols_a", "cols_b", label, "held_out").mapInPandas(partial, "slot int, value double")
-    return {r["slot"]: r["value"] for r in parts.groupBy("slot").agg(F.sum("value").alias("value")).collect()}
+    parts = rows.select("cols_a", "cols_b", label, "held_out").mapInArrow(partial, PART)
+    return in_two_levels(parts, (1, size + 2), tasks)[0]
 
 
 def fit(
@@ -139,6 +138,7 @@ def fit(
     marked = settle(rows.withColumn("held_out", F.col(trial) >= F.lit(cut) if cut is not None else F.lit(False)), "lineups")
     train_rows, rate = marked.filter(~F.col("held_out")).agg(F.count(F.lit(1)), F.avg(label)).first()
     marked = gather(marked, train_rows)
+    tasks = marked.rdd.getNumPartitions()
 
     rng = np.random.default_rng(seed)
     start = LowRank(np.zeros(n), *(rng.normal(0, 0.01, (n, rank)) for _ in range(3)), math.log(rate / (1 - rate)))
@@ -148,15 +148,13 @@ def fit(
     m, s = np.zeros_like(x), np.zeros_like(x)
     best_loss, best = math.inf, x
     for t in range(1, steps + 2):
-        sums = _step(marked, LowRank.from_flat(x, n, rank), label)
-        loss = sums.pop(_VAL_LOSS) / max(sums.pop(_VAL_ROWS), 1.0)
+        sums = _step(marked, LowRank.from_flat(x, n, rank), label, tasks)
+        loss = sums[-2] / max(sums[-1], 1.0)
         if loss < best_loss:
             best_loss, best = loss, x
         if t > steps:
             break
-        grad = np.zeros_like(x)
-        for slot, value in sums.items():
-            grad[slot] = value / train_rows
+        grad = sums[:-2] / train_rows
         grad += l2 * penalised * x
         m = 0.9 * m + 0.1 * grad
         s = 0.999 * s + 0.001 * grad * grad
