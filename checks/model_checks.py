@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.ctes import strength
 from checks.registry import check
-from evenhand.models import boosting, encoding, evaluation, folds, logistic, lowrank, scoring
+from evenhand.models import boosting, encoding, evaluation, folds, leafwise, logistic, lowrank, scoring
 from evenhand.plans import training
 from evenhand.sources.readers import read_report
 from evenhand.workspace import fresh_path, settle
@@ -441,6 +441,61 @@ def m5(spark, sf):
     model = boosting.fit(data.train_vectors)
     return evaluation.metrics(logistic.predict(model, data.test_vectors, "gradient_boosting"))
 
+# The first tree grown best first in SQL: every step picks the split with the largest gain over all leaves.
+SPLITS = 30
+FIRST_MARGIN = "CAST((SELECT avg(radiant_win) FROM trials) AS DOUBLE)"
+
+
+def _gains(leaves: str) -> str:
+    """Gains of all (leaf, column, threshold) whose sides hold 20 rows and a curvature of 0.001."""
+    score = "pow({0} * p - {1}, 2) / ({0} * p * (1 - p) + 1)"
+    gain = f"{score.format('nl', 'yl')} + {score.format('(n - nl)', '(y - yl)')} - {score.format('n', 'y')}"
+    return f"""SELECT leaf, col, upper, nl, yl, n, y, round({gain}, 9) AS gain FROM
+        (SELECT leaf, col, unnest([0, 1]) AS upper, unnest([nm, n - np]) AS nl, unnest([ym, y - yp]) AS yl, n, y, p FROM
+            (SELECT leaf, col, COUNT(*) FILTER (val < 0) AS nm, coalesce(SUM(won) FILTER (val < 0), 0) AS ym,
+                COUNT(*) FILTER (val > 0) AS np, coalesce(SUM(won) FILTER (val > 0), 0) AS yp
+             FROM signed JOIN {leaves} USING (match_id) GROUP BY 1, 2)
+            JOIN (SELECT leaf, COUNT(*) AS n, SUM(won) AS y FROM {leaves} GROUP BY 1) USING (leaf),
+            (SELECT {FIRST_MARGIN} AS p))
+        WHERE nl >= 20 AND n - nl >= 20 AND nl * p * (1 - p) >= 0.001 AND (n - nl) * p * (1 - p) >= 0.001"""
+
+
+def _steps(k: int) -> str:
+    return ",\n".join([f"signed AS MATERIALIZED ({SIGNED})",
+        "l0 AS MATERIALIZED (SELECT match_id, radiant_win AS won, CAST(0 AS BIGINT) AS leaf FROM trials)"] + [
+        f"""b{i} AS MATERIALIZED (SELECT * FROM ({_gains(f'l{i - 1}')}) WHERE gain > 0 ORDER BY gain DESC, leaf, col, upper LIMIT 1),
+    l{i} AS MATERIALIZED (SELECT l.match_id, l.won, CASE WHEN b.leaf = l.leaf AND coalesce(s.val, 0) >= b.upper THEN {i} ELSE l.leaf END AS leaf
+        FROM l{i - 1} l LEFT JOIN b{i} b ON true LEFT JOIN signed s ON s.match_id = l.match_id AND s.col = b.col)""" for i in range(1, k + 1)])
+
+
+@check("m5_first_splits", f"WITH {_steps(SPLITS)} " + " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS step, leaf, col, CAST(upper AS BIGINT) AS upper, nl AS n_left, n - nl AS n_right, round(gain, 6) AS gain FROM b{i}" for i in range(1, SPLITS + 1)))
+def m5_splits(spark, sf):
+    enc, index = encoded(spark, sf, carry=("radiant_win",))
+    _, splits = leafwise.first_tree(enc, index.count())
+    label, rows = {0: 0}, []
+    for step, (node, split, children) in enumerate(splits, 1):
+        rows.append((step, label[node], split.col, split.upper, round(split.left[2]), round(split.right[2]), round(split.gain, 6)))
+        label[children[0]], label[children[1]] = label[node], step
+    return spark.createDataFrame(rows, "step long, leaf long, col long, upper long, n_left long, n_right long, gain double")
+
+
+@check("m5_first_tree", f"""WITH {_steps(SPLITS)}, v AS (SELECT leaf, COUNT(*) AS n, SUM(won) AS y, any_value(p) AS p FROM l{SPLITS},
+        (SELECT {FIRST_MARGIN} AS p) GROUP BY 1)
+    SELECT match_id, l.won AS y, round(1 / (1 + exp(-(ln(p / (1 - p)) - CAST(0.06 AS DOUBLE) * (n * p - v.y) / (n * p * (1 - p) + 1)))), 9) AS p
+    FROM l{SPLITS} l JOIN v USING (leaf)""")
+def m5_tree(spark, sf):
+    enc, index = encoded(spark, sf, carry=("radiant_win",))
+    model, _ = leafwise.first_tree(enc, index.count())
+    return leafwise.predict(model, enc, "first").select("match_id", "y", F.round("p", 9).alias("p"))
+
+
+@check("m5_leaf_limited_boosting")
+def m5_leaf_limited(spark, sf):
+    data = prepared(spark, sf)
+    model = leafwise.fit(data.train, data.n)
+    return evaluation.metrics(leafwise.predict(model, data.test, "leaf_limited")).withColumn("trees", F.lit(len(model.trees)))
+
 
 @check("m7_low_rank")
 def m7(spark, sf):
