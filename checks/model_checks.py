@@ -9,6 +9,7 @@ from checks.ctes import strength
 from checks.registry import check
 from evenhand.models import boosting, encoding, evaluation, folds, leafwise, logistic, lowrank, scoring
 from evenhand.plans import training
+from evenhand.sources.colocated import store_bucketed
 from evenhand.sources.readers import read_report
 from evenhand.workspace import fresh_path, settle
 
@@ -347,6 +348,17 @@ def m12_join(spark, sf):
     return parts.withColumn("log_odds", F.round("log_odds", 9))
 
 
+@check("s9_colocated_join", """SELECT hero_id, COUNT(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS mean_y
+    FROM facts JOIN predictions USING (match_id) WHERE model = 'full' GROUP BY 1""")
+def s9_colocated(spark, sf):
+    """Facts and predictions stored by trial id; their join has no exchange of its own."""
+    facts = store_bucketed(fx.facts(spark, sf).select("match_id", "hero_id"), "match_id", 16, "facts")
+    full = fx.predictions(spark, sf).filter(F.col("model") == "full").select("match_id", "p", "y")
+    joined = facts.join(store_bucketed(full, "match_id", 16, "predictions"), "match_id")
+    return joined.groupBy("hero_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 9).alias("mean_p"), F.round(F.avg("y"), 9).alias("mean_y"))
+
+
 # --- fitted models: properties and metrics only ----------------------------------------------------
 
 
@@ -493,7 +505,7 @@ def m5_tree(spark, sf):
 @check("m5_leaf_limited_boosting")
 def m5_leaf_limited(spark, sf):
     data = prepared(spark, sf)
-    model = leafwise.fit(data.train, data.n)
+    model = leafwise.fit(data.train, data.n, max_iter=15)  # a tree is a chain of 30 scans on these tables
     return evaluation.metrics(leafwise.predict(model, data.test, "leaf_limited")).withColumn("trees", F.lit(len(model.trees)))
 
 
@@ -502,6 +514,17 @@ def m7(spark, sf):
     return training.low_rank_report(prepared(spark, sf))
 
 
+@check("m7_low_rank_batches", "SELECT COUNT(*) AS n, true AS antisymmetric FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY match_id) - 1 AS pos FROM trials) WHERE pos < "
+       + N_TRAIN + ")")
+def m7_batches(spark, sf):
+    """Ten passes over eight stored batches."""
+    data = prepared(spark, sf)
+    sides = lowrank.with_sides(data.train)
+    params = lowrank.fit(sides, data.n, steps=80, batches=8)
+    error = lowrank.antisymmetry_error(params, sides)
+    return error.select("n", (F.col("max_error") < 1e-9).alias("antisymmetric"))
+
+
 @check("m7_low_rank_antisymmetry", f"SELECT {N_TRAIN} AS n, true AS antisymmetric")
 def m7_error(spark, sf):
     data = prepared(spark, sf)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from evenhand.models.folds import chronological_split
 from evenhand.models.gridfit import PART, as_batch, in_two_levels
-from evenhand.workspace import gather, settle
+from evenhand.workspace import fresh_path, gather, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -94,6 +94,7 @@ def with_sides(encoded: DataFrame) -> DataFrame:
     return encoded.withColumns({"cols_a": side(True), "cols_b": side(False)})
 
 
+_ROWS_PER_FILE = 1_000_000
 _INDICATOR_CELLS = 2_000_000  # bounds the memory of one gradient step in a task
 
 
@@ -127,18 +128,56 @@ def _step(rows: DataFrame, params: LowRank, label: str, tasks: int) -> np.ndarra
     return in_two_levels(parts, (1, size + 2), tasks)[0]
 
 
+class _Batches:
+    """Training rows by seeded batch number, each batch a folder, validation rows in folder -1."""
+
+    def __init__(self, marked: DataFrame, train_rows: int, batches: int, seed: int, trial: str) -> None:
+        self.known: dict[tuple[int, bool], tuple[DataFrame, int]] = {}
+        self.per_batch = train_rows // batches
+        if batches == 1:
+            self.rows, self.counts = marked, {0: train_rows}
+            return
+        spark = marked.sparkSession
+        # A batch is cut into tasks by another hash, so that a large one is many files.
+        tasks = max(1, -(-self.per_batch // _ROWS_PER_FILE))
+        number = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64(trial, F.lit(seed)), F.lit(batches)).cast("int"))
+        cut = F.pmod(F.xxhash64(trial, F.lit(seed + 1)), F.lit(tasks))
+        path = fresh_path(spark, "batches")
+        marked.withColumn("batch", number).repartition(F.col("batch"), cut).write.partitionBy("batch").parquet(path)
+        self.rows = spark.read.schema(T.StructType([*marked.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+        self.counts = {r["batch"]: r["count"] for r in self.rows.groupBy("batch").count().collect()}  # one row a batch
+
+    def of(self, number: int, validate: bool) -> tuple[DataFrame, int, int]:
+        """Rows of a batch, with the validation rows if asked for, their tasks, and the training rows among them."""
+        key = (number, validate)
+        if key not in self.known:
+            rows = self.rows
+            if "batch" in rows.columns:
+                rows = rows.filter(F.col("batch").isin([number, -1] if validate else [number]))
+            rows = gather(rows, self.per_batch)
+            self.known[key] = rows, rows.rdd.getNumPartitions()
+        return *self.known[key], self.counts.get(number, 0)
+
+
 def fit(
     encoded: DataFrame, n: int, rank: int = 6, l2: float = 3e-3, lr: float = 0.02, steps: int = 60,
-    validation: float = 0.1, seed: int = 0, label: str = "radiant_win", trial: str = "match_id",
+    validation: float = 0.1, seed: int = 0, label: str = "radiant_win", trial: str = "match_id", batches: int = 1,
 ) -> LowRank:
-    """Adam on the full gradient; the last part in time validates and the best step is kept."""
+    """Adam on the gradient of one batch a step; the last part in time validates and the best step is kept.
+
+    With one batch every step reads all training rows. With more, seeded batch numbers are stored
+    with the rows, a step reads the folder of its batch only, each pass takes the batches in a new
+    order, and validation runs once a pass. Batches count, not rows: a batch grows with the table and
+    keeps many tasks busy. Without validation rows the last step is kept.
+    """
     rows = encoded.select(trial, "cols_a", "cols_b", label)
     _, held_out = chronological_split(rows, trial, validation)
     cut = held_out.agg(F.min(trial)).first()[0]
     marked = settle(rows.withColumn("held_out", F.col(trial) >= F.lit(cut) if cut is not None else F.lit(False)), "lineups")
     train_rows, rate = marked.filter(~F.col("held_out")).agg(F.count(F.lit(1)), F.avg(label)).first()
-    marked = gather(marked, train_rows)
-    tasks = marked.rdd.getNumPartitions()
+    if rate in (None, 0.0, 1.0):
+        raise ValueError("a fit needs training rows of both outcomes")
+    parts = _Batches(marked, train_rows, batches, seed, trial)
 
     rng = np.random.default_rng(seed)
     start = LowRank(np.zeros(n), *(rng.normal(0, 0.01, (n, rank)) for _ in range(3)), math.log(rate / (1 - rate)))
@@ -146,20 +185,24 @@ def fit(
     penalised = np.ones_like(x)
     penalised[-1] = 0.0
     m, s = np.zeros_like(x), np.zeros_like(x)
-    best_loss, best = math.inf, x
+    best_loss, best, order = math.inf, None, np.arange(batches)
     for t in range(1, steps + 2):
-        sums = _step(marked, LowRank.from_flat(x, n, rank), label, tasks)
-        loss = sums[-2] / max(sums[-1], 1.0)
-        if loss < best_loss:
-            best_loss, best = loss, x
-        if t > steps:
+        at = (t - 1) % batches
+        if at == 0 and batches > 1:
+            order = rng.permutation(batches)
+        last = t > steps
+        rows, tasks, count = parts.of(int(order[at]), validate=at == 0 or last)
+        sums = _step(rows, LowRank.from_flat(x, n, rank), label, tasks)
+        if sums[-1] and sums[-2] / sums[-1] < best_loss:
+            best_loss, best = sums[-2] / sums[-1], x
+        if last:
             break
-        grad = sums[:-2] / train_rows
+        grad = sums[:-2] / max(count, 1)
         grad += l2 * penalised * x
         m = 0.9 * m + 0.1 * grad
         s = 0.999 * s + 0.001 * grad * grad
         x = x - lr * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    return LowRank.from_flat(best, n, rank)
+    return LowRank.from_flat(x if best is None else best, n, rank)
 
 
 def logit_column(params: LowRank, cols_a: str = "cols_a", cols_b: str = "cols_b") -> Column:
