@@ -17,6 +17,7 @@ from evenhand.operators import trials as tr
 from evenhand.plans import audit, figures
 from evenhand.sources import readers
 from evenhand.streaming import ingest as st
+from evenhand.streaming import stateful
 from evenhand.workspace import fresh_path, settle
 
 
@@ -87,6 +88,31 @@ def st1_watermark(spark, sf):
     return spark.read.schema("match_id long, start_time long").parquet(out)
 
 
+def run_stateful(spark, sf) -> tuple[str, str, str]:
+    landing, accepted, rejected, progress = (fresh_path(spark, x) for x in ("landing", "accepted", "rejected", "progress"))
+    first = landed(spark, sf)
+    stateful.stateful_ingest(st.landing_stream(spark, f"{first}/*", 3), accepted, rejected, progress).awaitTermination()
+    return accepted, rejected, progress
+
+
+@check("st1_stateful_ingest", f"""WITH {ACCEPTED}, twice AS (SELECT match_id, CASE WHEN match_id % 97 = 0 THEN 2 ELSE 1 END AS times,
+        CASE WHEN len(r) <> 5 OR len(d) <> 5 THEN 'team size' WHEN list_contains(list_concat(r, d), 0) THEN 'missing entity'
+            WHEN len(list_distinct(list_concat(r, d))) <> 10 THEN 'repeated entity'
+            WHEN duration < 900 THEN 'too short' WHEN avg_rank_tier IS NULL THEN 'no rank' END AS reason FROM listed)
+    SELECT match_id, 'accepted' AS outcome, CAST(1 AS BIGINT) AS n FROM valid
+    UNION ALL SELECT match_id, 'copy', CAST(1 AS BIGINT) FROM twice WHERE reason IS NULL AND times = 2
+    UNION ALL SELECT match_id, reason, CAST(times AS BIGINT) FROM twice WHERE reason IS NOT NULL""")
+def st1_stateful(spark, sf):
+    accepted, rejected, _ = run_stateful(spark, sf)
+    turned_away = spark.read.parquet(rejected).groupBy("match_id", F.col("reject_reason").alias("outcome")).agg(F.sum("copies").alias("n"))
+    return spark.read.parquet(accepted).select("match_id", F.lit("accepted").alias("outcome"), F.lit(1).cast("long").alias("n")).unionByName(turned_away)
+
+
+@check("st1_state_of_ingest", f"WITH {ACCEPTED} SELECT match_id, CAST(CASE WHEN match_id % 97 = 0 THEN 2 ELSE 1 END AS BIGINT) AS times FROM valid")
+def st1_state(spark, sf):
+    return stateful.seen_trials(spark, run_stateful(spark, sf)[2])
+
+
 @check("st2_running_rates", f"""
     WITH g AS (SELECT hero_id, COUNT(*) AS games, CAST(SUM(won) AS BIGINT) AS wins FROM facts GROUP BY 1)
     SELECT hero_id, games, wins, round({LO}, 9) AS ci_low, CASE WHEN {LO} > 0.52 THEN 'nerf candidate'
