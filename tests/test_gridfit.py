@@ -48,3 +48,19 @@ def test_odd_rows_and_empty_tables(spark):
     assert not none.converged and none.train_rows == 0 and not none.weights.any()
     (cut,) = gridfit.fit_all(df, 3, used, F.lit(0), max_rounds=1)
     assert not cut.converged
+
+
+def test_packed_rows_keep_every_element_and_later_blocks_cost_nothing():
+    import pyarrow as pa
+    cols, vals = [[0, 2], [], [1], [0, 1]], [[1.0, -1.0], [], [0.5], [2.0, 1.0]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float64())), pa.array([0, 2, 1, 0], pa.int32()),
+         pa.array([1.0, 0.0, 1.0, 0.0])], ["cols", "vals", "block", "y"])
+    found = {block: [a.tolist() for a in arrays] for block, *arrays in gridfit._unpack(gridfit._pack([batch]))}
+    assert found == {0: [[0, 2, 0, 1], [1.0, -1.0, 2.0, 1.0], [2, 2], [1.0, 0.0]], 1: [[1], [0.5], [1], [1.0]], 2: [[], [], [0], [0.0]]}
+    out = np.zeros((1, gridfit._HEAD + 4))
+    for block, *arrays in gridfit._unpack(gridfit._pack([batch])):
+        for piece in gridfit._pieces(*arrays):
+            gridfit._add_sums(out, block, *piece, np.zeros((1, 4)), [0], False)
+    # Two training rows, one row in the next block, none of the block after it.
+    assert out[0, 1] == 2 and out[0, 3] == 1 and out[0, gridfit._HEAD:].tolist() == [0.5, 0.5, 0.5, 0.0]
