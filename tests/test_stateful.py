@@ -67,3 +67,19 @@ def test_forgetting_and_empty_deliveries(spark, api):
     ids = sorted(r.match_id for r in some.select("match_id").collect())
     # Forgotten at the start of a later batch, so an id passes again.
     assert set(job.ids()) == set(ids) and len(job.ids()) > len(ids)
+
+
+def test_ids_of_a_bucket_are_told_apart(spark, api, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    valid = tr.valid_trials(api)
+    job = Ingest(spark)
+    job.run(valid.filter("match_id % 3 = 0"))
+    job.run(valid.unionByName(valid.filter("match_id % 2 = 0")))
+    ids = [r.match_id for r in valid.select("match_id").collect()]
+    assert job.ids() == sorted(ids)
+    times = {i: 1 + (i % 3 == 0) + (i % 2 == 0) for i in ids}
+    assert {r.match_id: r.times for r in stateful.seen_trials(spark, job.progress).collect()} == times
+    copies = spark.read.parquet(job.rejected).groupBy("match_id").agg(F.sum("copies").alias("n")).collect()
+    assert {r.match_id: r.n for r in copies} == {i: n - 1 for i, n in times.items() if n > 1}
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(job.progress)
+    assert state.count() <= 2  # a value a bucket, not an id
