@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,34 +47,34 @@ class LowRank:
         w, v, p, q, b = np.split(x, np.cumsum([n, n * rank, n * rank, n * rank]))
         return LowRank(w, v.reshape(n, rank), p.reshape(n, rank), q.reshape(n, rank), float(b[0]))
 
-    def sums(self, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.v[side].sum(1), self.p[side].sum(1), self.q[side].sum(1)
+    def sums(self, side: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Summed v, p, q, w and squares of v over each side, from one table read position by position."""
+        rank = self.v.shape[1]
+        table = np.column_stack([self.v, self.p, self.q, self.w, (self.v**2).sum(1)])
+        total = np.zeros((len(side), table.shape[1]))
+        for at in range(side.shape[1]):
+            total += table[side[:, at]]
+        return total[:, :rank], total[:, rank:2 * rank], total[:, 2 * rank:3 * rank], total[:, -2], total[:, -1]
 
     def logit(self, a: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Logits of line-ups given as (rows, side size) arrays of column numbers."""
-        va, pa, qa = self.sums(a)
-        vd, pd_, qd = self.sums(d)
+        va, pa, qa, wa, squares_a = self.sums(a)
+        vd, pd_, qd, wd, squares_d = self.sums(d)
         # The sum over pairs is half of the squared sum minus the summed squares.
-        squares = (self.v**2).sum(1)
-        synergy = 0.5 * ((va**2).sum(1) - squares[a].sum(1) - ((vd**2).sum(1) - squares[d].sum(1)))
+        synergy = 0.5 * ((va**2).sum(1) - squares_a - ((vd**2).sum(1) - squares_d))
         counter = (pa * qd).sum(1) - (pd_ * qa).sum(1)
-        return self.w[a].sum(1) - self.w[d].sum(1) + synergy + counter + self.b
+        return wa - wd + synergy + counter + self.b
 
     def gradient(self, a: np.ndarray, d: np.ndarray, error: np.ndarray) -> np.ndarray:
         """Gradient of the summed loss, where error is prediction minus outcome per row."""
-        va, pa, qa = self.sums(a)
-        vd, pd_, qd = self.sums(d)
+        va, pa, qa, _, _ = self.sums(a)
+        vd, pd_, qd, _, _ = self.sums(d)
         e = error[:, None]
-        on_a, on_d = self.indicator(a), self.indicator(d)
-        w_a, w_d = on_a.T @ error, on_d.T @ error
-        return LowRank(
-            w_a - w_d,
-            # d synergy / d v_i is the side's sum without v_i itself.
-            on_a.T @ (e * va) - on_d.T @ (e * vd) - (w_a - w_d)[:, None] * self.v,
-            on_a.T @ (e * qd) - on_d.T @ (e * qa),
-            on_d.T @ (e * pa) - on_a.T @ (e * pd_),
-            float(error.sum()),
-        ).flat()
+        cuts = 1 + self.v.shape[1] * np.arange(3)
+        w_a, v_a, p_a, q_a = np.split(self.indicator(a).T @ (e * np.column_stack([np.ones(len(a)), va, qd, pd_])), cuts, axis=1)
+        w_d, v_d, p_d, q_d = np.split(self.indicator(d).T @ (e * np.column_stack([np.ones(len(d)), vd, qa, pa])), cuts, axis=1)
+        # d synergy / d v_i is the side's sum without v_i itself.
+        return LowRank((w_a - w_d)[:, 0], v_a - v_d - (w_a - w_d) * self.v, p_a - p_d, q_d - q_a, float(error.sum())).flat()
 
     def indicator(self, side: np.ndarray) -> np.ndarray:
         out = np.zeros((len(side), len(self.w)))
@@ -95,7 +96,15 @@ def with_sides(encoded: DataFrame) -> DataFrame:
 
 
 _ROWS_PER_FILE = 1_000_000
-_INDICATOR_CELLS = 2_000_000  # bounds the memory of one gradient step in a task
+_INDICATOR_CELLS = 131_072  # rows are handled in pieces whose indicator stays in a core's cache
+
+
+def _matrix(sides: pa.Array) -> np.ndarray:
+    """Lists of equal length as (rows, length), without a Python object a row."""
+    lengths = sides.value_lengths().to_numpy()
+    if (lengths != lengths[0]).any():
+        raise ValueError("the sides of all line-ups must have the same size")
+    return sides.flatten().to_numpy().reshape(len(sides), lengths[0])
 
 
 def _step(rows: DataFrame, params: LowRank, label: str, tasks: int) -> np.ndarray:
@@ -108,20 +117,19 @@ def _step(rows: DataFrame, params: LowRank, label: str, tasks: int) -> np.ndarra
 
     def partial(batches):
         total = np.zeros((1, size + 2))
-        for arrow in batches:
-            batch = arrow.to_pandas()
-            if not len(batch):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            a, d = np.stack(batch["cols_a"]), np.stack(batch["cols_b"])
-            y = batch[label].to_numpy(float)
-            prob = _sigmoid(params.logit(a, d))
-            val = batch["held_out"].to_numpy(bool)
-            clipped = np.clip(prob[val], 1e-6, 1 - 1e-6)
-            total[0, size] -= float(np.where(y[val] == 1, np.log(clipped), np.log1p(-clipped)).sum())
-            total[0, size + 1] += val.sum()
-            a, d, error = a[~val], d[~val], (prob - y)[~val]
-            for at in range(0, len(a), chunk):
-                total[0, :size] += params.gradient(a[at:at + chunk], d[at:at + chunk], error[at:at + chunk])
+            all_a, all_d = _matrix(batch.column("cols_a")), _matrix(batch.column("cols_b"))
+            all_y = batch.column(label).to_numpy(zero_copy_only=False).astype(float)
+            held_out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for at in range(0, batch.num_rows, chunk):
+                a, d, y, val = (x[at:at + chunk] for x in (all_a, all_d, all_y, held_out))
+                prob = _sigmoid(params.logit(a, d))
+                clipped = np.clip(prob[val], 1e-6, 1 - 1e-6)
+                total[0, size] -= float(np.where(y[val] == 1, np.log(clipped), np.log1p(-clipped)).sum())
+                total[0, size + 1] += val.sum()
+                total[0, :size] += params.gradient(a[~val], d[~val], (prob - y)[~val])
         yield as_batch(total)
 
     parts = rows.select("cols_a", "cols_b", label, "held_out").mapInArrow(partial, PART)
