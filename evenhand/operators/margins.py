@@ -36,30 +36,35 @@ def margins(rows: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]]
     """Per grouping set and group: grouping_id, the dims (null where left out), games, wins, trials.
 
     `rows` has one row a trial whose array `members` holds structs with the `dims` and `won`. Games are
-    members, wins those that won, trials the distinct trials with such a member. Within its row a trial
-    gives one partial row per grouping set and distinct group, so a trial is counted once for each of
-    its groups without a shuffle by trial and without expanding the facts; the partial rows combine
-    map-side, the grand total like any other group. A null value of a dim is a group of its own, told
+    members, wins those that won, trials the distinct trials with such a member. Within its row each member
+    is marked once a grouping set if it is the first of its group, so a trial is counted once for each of
+    its groups without a shuffle by trial; members combine map-side into cells of all `dims`, and every
+    grouping set is added up from those cells. A null value of a dim is a group of its own, told
     from a margin by grouping_id. Null or empty `members` count nowhere; repeated rows are trials of
     their own.
     """
     sets = [tuple(s) for s in (cube(dims) if sets is None else sets)]
 
-    def partial(kept: tuple[str, ...]) -> Column:
+    dims = list(dims)
+
+    def key(kept: tuple[str, ...]):
         # A constant field keeps the struct of the grand total from being empty.
-        key = lambda m: F.struct(F.lit(0).alias("_"), *[m[d].alias(d) for d in kept])
-        keys = F.array_distinct(F.transform(members, lambda m: key(m)))
-
-        def group(k: Column) -> Column:
-            mine = F.filter(members, lambda m: key(m).eqNullSafe(k))
-            return F.struct(
-                F.lit(grouping_id(kept, dims)).alias("grouping_id"),
-                *[(k[d] if d in kept else F.lit(None).cast(kinds[d])).alias(d) for d in dims],
-                F.size(mine).cast("long").alias("games"), F.aggregate(mine, F.lit(0).cast("long"), lambda t, m: t + F.coalesce(m["won"], F.lit(0))).alias("wins"))
-
-        return F.transform(keys, group)
-
-    kinds = {f.name: f.dataType for f in rows.schema[members].dataType.elementType.fields}
-    parts = rows.select(F.inline(F.concat(*[partial(s) for s in sets])))
-    return parts.groupBy("grouping_id", *dims).agg(
-        F.sum("games").alias("games"), F.sum("wins").alias("wins"), F.count("*").alias("trials"))
+        return lambda m: F.struct(F.lit(0).alias("_"), *[m[d].alias(d) for d in kept])
+
+    def opens(keys: str):
+        """Whether no earlier member of the row has the same key."""
+        return lambda k, at: (F.array_position(keys, k) == at + 1).cast("long")
+
+    keys = F.struct(*[F.transform(members, key(s)).alias(f"k{i}") for i, s in enumerate(sets)])
+    marks = [F.transform(f"_keys.k{i}", opens(f"_keys.k{i}")).alias(f"o{i}") for i in range(len(sets))]
+    numbered = rows.select(F.col(members).alias("_members"), keys.alias("_keys")).select(
+        F.inline(F.arrays_zip(F.col("_members").alias("m"), *marks)))
+    cells = numbered.select("m.*", *[f"o{i}" for i in range(len(sets))]).groupBy(*dims).agg(
+        F.count(F.lit(1)).alias("games"), F.sum(F.coalesce("won", F.lit(0))).alias("wins"),
+        *[F.sum(f"o{i}").alias(f"o{i}") for i in range(len(sets))])
+    listed = F.array(*[F.struct(
+        F.lit(grouping_id(s, dims)).alias("grouping_id"),
+        *[(F.col(d) if d in s else F.lit(None).cast(rows.schema[members].dataType.elementType[d].dataType)).alias(d) for d in dims],
+        F.col("games"), F.col("wins"), F.col(f"o{i}").alias("trials")) for i, s in enumerate(sets)])
+    return cells.select(F.inline(listed)).groupBy("grouping_id", *dims).agg(
+        F.sum("games").alias("games"), F.sum("wins").alias("wins"), F.sum("trials").alias("trials"))
