@@ -21,6 +21,14 @@ from evenhand.streaming import stateful
 from evenhand.workspace import fresh_path, settle
 
 
+ROWS_PER_FILE = 500_000
+
+
+def pieces(rows: int, files: int) -> int:
+    """How many landing files stand for one of `files`, so that none grows with the table."""
+    return max(1, -(-rows // (files * ROWS_PER_FILE)))
+
+
 def landed(spark, sf) -> str:
     """The export as landing JSON in several files, every 97th trial twice."""
     path = fresh_path(spark, "landing")
@@ -55,9 +63,10 @@ def run_ingest_twice(spark, sf) -> str:
     undated = api.filter("match_id % 89 = 0").withColumn("start_time", F.lit(None).cast("long"))
     for part in ([api.filter("match_id % 2 = 0")], [off, undated], [api]):
         landing = fresh_path(spark, "landing")
+        many = pieces(max(df.count() for df in part), 2)
         for k, df in enumerate(part):
-            df.repartition(2).write.json(f"{landing}/{k}")
-        st.ingest(st.landing_stream(spark, f"{landing}/*", 1), table, fresh_path(spark, "progress")).awaitTermination()
+            df.repartition(2 * many).write.json(f"{landing}/{k}")
+        st.ingest(st.landing_stream(spark, f"{landing}/*", many), table, fresh_path(spark, "progress")).awaitTermination()
     return table
 
 
