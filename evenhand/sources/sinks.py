@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Write rows as Parquet or CSV (with a header), optionally partitioned by columns."""
+    if partition_by:
+        # Tasks of even size with few values each: no task sorts a large share of the rows by those columns.
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         # Quotes inside a field are doubled, as other CSV readers expect.
