@@ -65,6 +65,7 @@ def test_dealt_line_ups_are_grouped_where_they_lie(spark, line_ups):
 
 def test_antisymmetry_moves_no_single_terms(spark, sf):
     from checks.registry import QUERIES
-    for name in ("e8_antisymmetry",):
+    for name in ("e8_antisymmetry", "e7_trimmed_terms", "e5_e6_j9_pair_terms"):
         found = shuffles(QUERIES[name](spark, sf))
         assert found and not [keys for keys in found if "col#" in keys], name
+        assert len(found) == (1 if name == "e7_trimmed_terms" else 2), name
