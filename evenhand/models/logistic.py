@@ -8,12 +8,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenhand.models import gridfit
 from evenhand.models.folds import expanding_folds
-from evenhand.models.gridfit import Candidate, Fit, fit_all
+from evenhand.models.gridfit import Candidate, Fit
 from evenhand.workspace import gather
 
 
@@ -26,8 +29,14 @@ def fit(
     Spark minimises mean loss plus regParam times half the squared norm, so regParam is
     1 / (c * rows), with the row count of this very fit. Features keep their scale, as the penalty
     is meant for the raw signed columns; the intercept is not penalised. Warns if the iterations ran out.
+
+    Wide models (over `gridfit.WIDE` columns) are fitted by the descent of the search, from packed rows: `tol` then
+    bounds the largest slope of the mean objective (at most 1e-8), and the rows are never held in memory.
     """
     rows = train.count() if rows is None else rows
+    size = width(train, features)
+    if size > gridfit.WIDE:
+        return _wide_fit(train, c, rows, size, label, features, max_iter, min(tol, 1e-8))
     model = LogisticRegression(
         featuresCol=features, labelCol=label, regParam=1.0 / (c * rows), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter, tol=tol,
@@ -37,6 +46,24 @@ def fit(
     return model
 
 
+def width(rows: DataFrame, features: str = "features") -> int:
+    """Elements of the vectors, from any one of them; 0 if there is none."""
+    vector = F.unwrap_udt(features)
+    first = rows.select(F.coalesce(vector["size"], F.size(vector["values"]))).first()
+    return first[0] if first and first[0] else 0
+
+
+def _wide_fit(train, c, rows, size, label, features, max_iter, tol) -> LogisticRegressionModel:
+    (found,) = gridfit.fit_all(
+        gather(train, rows), size, [Candidate(c, 0)], F.lit(0), label, features, tol, max_iter)
+    if not found.converged:
+        warnings.warn(f"the fit with c={c} stopped after {found.rounds} rounds at a slope of {found.largest_slope:.1e}", stacklevel=3)
+    context = train.sparkSession.sparkContext
+    model = LogisticRegressionModel(context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        LogisticRegression().uid, _py2java(context, DenseVector(found.weights)), found.intercept))
+    return model.setFeaturesCol(features)
+
+
 def predict(model, rows: DataFrame, name: str, label: str = "radiant_win", trial: str = "match_id") -> DataFrame:
     """Predictions as (trial, model, p, y) rows."""
     scored = model.transform(rows)
@@ -52,11 +79,9 @@ def fold_fits(
     """Fits of every C (outer) on every expanding fold (inner), all from the same scans."""
     folds = expanding_folds(train, k, order)
     block = reduce(lambda a, b: a + b, [(~earlier).cast("int") for earlier, _, _ in folds])
-    vector = F.unwrap_udt(features)
-    first = train.select(F.coalesce(vector["size"], F.size(vector["values"]))).first()
     rows = gather(train, folds[-1][2] if folds else 0)
     candidates = [Candidate(c, i) for c in grid for i in range(k)]
-    fits = fit_all(rows, first[0] if first else 0, candidates, block, label, features, tol, max_iter)
+    fits = gridfit.fit_all(rows, width(train, features), candidates, block, label, features, tol, max_iter)
     return [fits[g * k:(g + 1) * k] for g in range(len(grid))]
 
 
