@@ -25,3 +25,13 @@ def test_model_queries_set_no_smaller_job(monkeypatch, query, owner, function):
     monkeypatch.setattr(model_checks.lowrank, "with_sides", lambda encoded: encoded)
     with pytest.raises(Stop):
         query(None, "")
+
+
+def test_leaf_limited_boosting_makes_all_its_trees(monkeypatch):
+    def called(train: DataFrame, n: int, **options):
+        assert not options
+        raise Stop
+    monkeypatch.setattr(model_checks.leafwise, "fit", called)
+    monkeypatch.setattr(model_checks, "prepared", lambda spark, sf: SimpleNamespace(train=None, n=0))
+    with pytest.raises(Stop):
+        model_checks.m5_leaf_limited(None, "")
