@@ -124,3 +124,28 @@ def test_bucketed_tables_join_without_an_exchange(spark):
         assert store_bucketed(b.limit(0), "k", 4).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_foreseen_splits_save_scans_and_wrong_ones_are_given_up(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        cols = rng.permutation(40)[:6]
+        edge = sum(s * (c - 20) / 20 for c, s in zip(cols, [1, 1, 1, -1, -1, -1]))
+        rows.append((i, [(int(c), s) for c, s in zip(cols, [1.0, 1.0, 1.0, -1.0, -1.0, -1.0])], int(rng.random() < 1 / (1 + np.exp(-edge)))))
+    table = spark.createDataFrame(rows, TERMS).repartition(2)
+    scans = []
+    count = leafwise._count
+    monkeypatch.setattr(leafwise, "_count", lambda *a: (scans.append(len(a[4])), count(*a))[1])
+    limits = leafwise.Limits(max_leaves=20)
+
+    def splits():
+        scans.clear()
+        return [(s.col, s.upper, round(s.gain, 6), round(s.left[2]), round(s.right[2])) for _, s, _ in leafwise.first_tree(table, 40, 0.1, limits)[1]]
+
+    found = splits()
+    assert len(found) == 19 and len(scans) < 15
+    plain = leafwise._guessed
+    monkeypatch.setattr(leafwise, "_guessed", lambda node, split: tuple(
+        leafwise.Node(x.sums, np.roll(x.histogram, 7, axis=2), guessed=True) for x in plain(node, split)))
+    assert splits() == found and len(scans) <= 20
