@@ -107,16 +107,19 @@ def reduced_pairwise_report(
 ) -> DataFrame:
     """Metrics per occurrence threshold, counted on training trials; the best by AUC is marked.
 
-    With baseline AUCs, the best row says whether it beats all of them.
+    A higher threshold keeps a part of the columns of a lower one, so thresholds that keep as many columns keep the
+    same ones: they have one search and fit. With baseline AUCs, the best row says whether it beats all of them.
     """
     counts = settle(encoding.pair_occurrences(data.train, data.n), "counts")
     paired = settle(encoding.with_pairs(data.train.unionByName(data.test), data.n), "paired")
-    parts = []
+    parts, fitted = [], {}
     for threshold in thresholds:
         kept = encoding.kept_columns(counts, data.n, threshold)
         size = kept.count()
-        train, test = data.split(encoding.as_vectors(encoding.trim(paired, kept), size))
-        model, best, _ = logistic.search_and_fit(train, grid, k)
+        if size not in fitted:
+            train, test = data.split(encoding.as_vectors(encoding.trim(paired, kept), size))
+            fitted[size] = *logistic.search_and_fit(train, grid, k)[:2], test
+        model, best, test = fitted[size]
         name = f"pairwise_thresh_{threshold}"
         parts.append(evaluation.metrics(logistic.predict(model, test, name)).select(
             "*", F.lit(best).alias("best_C"), F.lit(size).alias("n_features")))

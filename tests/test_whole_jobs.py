@@ -35,3 +35,17 @@ def test_leaf_limited_boosting_makes_all_its_trees(monkeypatch):
     monkeypatch.setattr(model_checks, "prepared", lambda spark, sf: SimpleNamespace(train=None, n=0))
     with pytest.raises(Stop):
         model_checks.m5_leaf_limited(None, "")
+
+
+def test_thresholds_with_the_same_columns_are_fitted_once(spark, monkeypatch):
+    from checks import fixtures as fx
+    from evenhand.models import logistic
+    from evenhand.plans import training
+    data = training.prepare(fx.trials(spark, "/root/testdata/sf0.001"))
+    sizes = []
+    monkeypatch.setattr(logistic, "search_and_fit", lambda train, grid, k: (
+        sizes.append(logistic.width(train)), (logistic.fit(train, 0.01), 0.01, None))[1])
+    rows = {r.model: r for r in training.reduced_pairwise_report(data, (6, 300, 400)).collect()}
+    assert len(rows) == 3 and len(sizes) == 2 and sizes[0] > sizes[1] == data.n
+    a, b = rows["pairwise_thresh_300"], rows["pairwise_thresh_400"]
+    assert (a.roc_auc, a.n_features, a.best_C) == (b.roc_auc, b.n_features, b.best_C)
